@@ -1,0 +1 @@
+"""Empty on purpose: every analysis in scope is bounded batch work, so there is no stream operator."""
