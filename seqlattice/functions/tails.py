@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a, b, x, rounds=300):
@@ -58,12 +59,12 @@ def incomplete_beta(a, b, x):
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: erfc(abs(v) / 2**0.5), na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     t, df = t.astype(float).to_numpy(), df.astype(float).to_numpy()
     with np.errstate(all="ignore"):
@@ -71,7 +72,7 @@ def _student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(incomplete_beta(df / 2.0, np.full_like(df, 0.5), x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     f, df1, df2 = (v.astype(float).to_numpy() for v in (f, df1, df2))
     with np.errstate(all="ignore"):

@@ -262,7 +262,8 @@ def category_support(annotated: DataFrame, called: DataFrame) -> DataFrame:
 def called_pairs(metadata: DataFrame, called: DataFrame) -> DataFrame:
     """Number of distinct cell/UMI pairs over all primary reads of called cells, as one row."""
     barcodes = called.select(F.col("barcode").alias("CB"))
-    tagged = metadata.filter((F.col("CB") != "") & (F.col("UB") != "")).join(barcodes, "CB", "left_semi")
+    given = (F.col("CB").cast("string") != "") & (F.col("UB").cast("string") != "")
+    tagged = metadata.filter(given).join(barcodes, "CB", "left_semi")
     return tagged.agg(F.count_distinct("CB", "UB").alias("pairs"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("junctions", "matrices")
+AREAS = ("reads", "junctions", "matrices", "bulk", "cells")
 
 
 def collect(kind: str) -> dict:

@@ -123,7 +123,7 @@ def fusion_summary(spark, folder):
     + """,
     points AS (SELECT CAST(l_partkey * 20 + l_quantity AS BIGINT) AS pos, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
     SELECT gene_id, count(*) AS hits, CAST(sum(q) AS BIGINT) AS quantity
-    FROM points JOIN genes ON chrom = 'c' || CAST(floor(pos / 100000.0) AS BIGINT) AND pos BETWEEN gstart AND gend
+    FROM points JOIN genes ON chrom = 'c' || CAST(floor(pos / 4000.0) AS BIGINT) AND pos BETWEEN gstart AND gend
     GROUP BY 1
     """,
 )
@@ -243,8 +243,8 @@ def _assigned(spark, folder):
             CASE WHEN l_discount >= 0.09 THEN 2 ELSE 1 END AS nh
           FROM lineitem WHERE l_tax <> 0.0),
     blocks AS (
-      SELECT id, 'c' || CAST(floor(pos / 100000.0) AS BIGINT) AS contig, pos AS f, pos + 5 + n AS t FROM a
-      UNION ALL SELECT id, 'c' || CAST(floor(pos / 100000.0) AS BIGINT), pos + 6 + 4 * n, pos + 8 + 4 * n FROM a),
+      SELECT id, 'c' || CAST(floor(pos / 4000.0) AS BIGINT) AS contig, pos AS f, pos + 5 + n AS t FROM a
+      UNION ALL SELECT id, 'c' || CAST(floor(pos / 4000.0) AS BIGINT), pos + 6 + 4 * n, pos + 8 + 4 * n FROM a),
     hits AS (SELECT id, min(gene_id) AS low, max(gene_id) AS high
              FROM blocks JOIN genes ON chrom = contig AND f <= gend AND t >= gstart GROUP BY 1),
     s AS (SELECT CASE WHEN flag = 9 THEN 'Unassigned_Singleton' WHEN nh > 1 THEN 'Unassigned_MultiMapping'

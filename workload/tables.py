@@ -16,7 +16,7 @@ REGION_A = Region("BCR", "chr22", 10_000, 400_000, "+")
 REGION_B = Region("ABL1", "chr9", 5_000, 300_000, "+")
 CONTRAST = Contrast("A", "B")
 BIN = 512
-CONTIG = 100_000
+CONTIG = 4_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -151,7 +151,7 @@ def called_cells(spark, folder) -> DataFrame:
 
 GENES_SQL = """
 genes AS (
-  SELECT 'c' || CAST(floor(p_partkey * 20 / 100000.0) AS BIGINT) AS chrom, p_partkey * 20 AS gstart,
+  SELECT 'c' || CAST(floor(p_partkey * 20 / 4000.0) AS BIGINT) AS chrom, p_partkey * 20 AS gstart,
     p_partkey * 20 + p_size AS gend, p_partkey AS gene_id, p_brand AS gene_name
   FROM part
 )
@@ -165,12 +165,14 @@ ends AS (
     CAST(l_partkey * 20 + l_quantity AS BIGINT) AS pos1, o_custkey * 20 + l_linenumber * 7 AS pos2
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ),
-pairs AS (
-  SELECT e.*, g1.gene_id AS gene1_id, g1.gene_name AS gene1_name, g2.gene_id AS gene2_id, g2.gene_name AS gene2_name
-  FROM ends e
-  JOIN genes g1 ON g1.chrom = 'c' || CAST(floor(pos1 / 100000.0) AS BIGINT) AND pos1 BETWEEN g1.gstart AND g1.gend
-  JOIN genes g2 ON g2.chrom = 'c' || CAST(floor(pos2 / 100000.0) AS BIGINT) AND pos2 BETWEEN g2.gstart AND g2.gend
-  WHERE g1.gene_id <> g2.gene_id
+first_end AS MATERIALIZED (
+  SELECT e.*, g1.gene_id AS gene1_id, g1.gene_name AS gene1_name
+  FROM ends e JOIN genes g1 ON g1.chrom = 'c' || CAST(floor(pos1 / 4000.0) AS BIGINT) AND pos1 BETWEEN g1.gstart AND g1.gend
+),
+pairs AS MATERIALIZED (
+  SELECT e.*, g2.gene_id AS gene2_id, g2.gene_name AS gene2_name
+  FROM first_end e JOIN genes g2 ON g2.chrom = 'c' || CAST(floor(pos2 / 4000.0) AS BIGINT) AND pos2 BETWEEN g2.gstart AND g2.gend
+  WHERE e.gene1_id <> g2.gene_id
 ),
 categorised AS (
   SELECT p.*, 'whole_intergene' AS category FROM pairs p
@@ -179,7 +181,7 @@ categorised AS (
   UNION ALL SELECT p.*, 'Brand#1_Brand#2' FROM pairs p
     WHERE 'Brand#1' IN (gene1_name, gene2_name) AND 'Brand#2' IN (gene1_name, gene2_name)
 ),
-last_records AS (
+last_records AS MATERIALIZED (
   SELECT category, original_qname, cb, ub FROM (
     SELECT *, row_number() OVER (PARTITION BY category, original_qname ORDER BY source_line DESC, cb DESC, ub DESC) AS rn
     FROM categorised) WHERE rn = 1
