@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from seqlattice.contracts import (
     expect,
@@ -246,26 +250,44 @@ def read_10x(spark: SparkSession, folder: str, suffix: str = ".gz") -> tuple[Dat
     return triples, genes, cells
 
 
+def _sha256():
+    @F.pandas_udf(StringType())
+    def digest(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> str:
+            system, inner = fs.FileSystem.from_uri(path)
+            state = hashlib.sha256()
+            with system.open_input_stream(inner, compression=None) as stream:
+                while block := stream.read(1 << 20):
+                    state.update(block)
+            return state.hexdigest()
+
+        return paths.map(one)
+
+    return digest
+
+
 def hash_files(spark: SparkSession, inputs: DataFrame, path: str = "path", label: str = "dataset") -> DataFrame:
     """SHA-256 and size of every file under the inputs ``ordinal, label, path``.
 
-    Files are matched to inputs by their parent folders, an equi-join. Spark reads a file whole here,
-    so single files are limited to 2 GB; hidden files are not listed.
+    Only names are listed by the planner; tasks stream the contents, so files of any size fit.
     """
-    listed = [r[path] for r in inputs.select(path).distinct().collect()]
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(listed)
-    clean = F.regexp_replace("path", "^file:/+", "/")
-    hashed = content.select(clean.alias("_file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    steps = F.split("_file", "/")
-    parents = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
-    placed = hashed.withColumn("_input", F.explode(parents)).distinct()
-    wanted = inputs.select(
-        "ordinal", F.col(label).alias("label"), F.rtrim(F.regexp_replace(path, "^file:/+", "/"), F.lit("/")).alias("_input")
-    )
-    found = wanted.join(placed, "_input")
-    missing = wanted.join(found, ["ordinal"], "left_anti")
-    expect(missing, F.lit(False), "Missing or empty input")
-    relative = F.when(F.col("_file") == F.col("_input"), ".").otherwise(F.expr("substring(_file, length(_input) + 2)"))
-    return found.select(
-        (F.col("ordinal") + 1).alias("manifest_row"), "label", F.col("_input").alias("input_path"), relative.alias("relative_file"), "bytes", "sha256"
+    listed = []
+    # One row per manifest line.
+    for row in inputs.select("ordinal", label, path).collect():
+        place = row[path].rstrip("/")
+        system, inner = fs.FileSystem.from_uri(place)
+        info = system.get_file_info(inner)
+        require(info.type != fs.FileType.NotFound, f"Missing input: {place}")
+        files = [info]
+        if info.type == fs.FileType.Directory:
+            files = [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File]
+        require(bool(files), f"Input directory contains no files: {place}")
+        for found in files:
+            relative = "." if found.path == inner else found.path[len(inner.rstrip("/")) + 1 :]
+            whole = place if relative == "." else f"{place}/{relative}"
+            listed.append((row["ordinal"] + 1, row[label], place, relative, found.size, whole))
+    table = spark.createDataFrame(
+        listed, "manifest_row BIGINT, label STRING, input_path STRING, relative_file STRING, bytes BIGINT, _file STRING"
     )
+    spread = table.repartition(max(1, min(len(listed), 10_000)), "_file")
+    return spread.withColumn("sha256", _sha256()("_file")).drop("_file")
