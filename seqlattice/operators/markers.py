@@ -168,5 +168,5 @@ def find_markers(
         "p_val",
         "pct_1",
         "pct_2",
-        F.least(F.lit(1.0), F.col("p_val") * genes).alias("p_val_adj"),
+        F.when(F.col("p_val").isNotNull(), F.least(F.lit(1.0), F.col("p_val") * genes)).alias("p_val_adj"),
     )
