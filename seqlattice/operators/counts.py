@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlattice.contracts import expect, expect_ids, expect_references, expect_rows, expect_unique, require
-from seqlattice.operators.graph import connected_components
+from seqlattice.operators.graph import GROUP_EDGES, grouped_components
 from seqlattice.operators.ordering import row_numbers, scan, slice_rows
 from seqlattice.schemas import SAFE_ID
 from seqlattice.session import materialize
@@ -19,7 +19,8 @@ from seqlattice.session import materialize
 
 
 def dedup_umis(
-    tagged: DataFrame, cell: str = "CB", gene: str = "gene_id", umi: str = "UB", method: str = "unique"
+    tagged: DataFrame, cell: str = "CB", gene: str = "gene_id", umi: str = "UB", method: str = "unique",
+    max_edges: int = GROUP_EDGES,
 ) -> DataFrame:
     """Molecules per cell and gene as ``gene, cell, count``.
 
@@ -31,10 +32,10 @@ def dedup_umis(
     if method == "unique":
         return keys.groupBy("gene", "cell").agg(F.count_distinct("umi").alias("count"))
     require(method == "directional", "method must be 'unique' or 'directional'")
-    return _directional(keys)
+    return _directional(keys, max_edges)
 
 
-def _directional(keys: DataFrame) -> DataFrame:
+def _directional(keys: DataFrame, max_edges: int) -> DataFrame:
     """Count clusters without walking a graph per group.
 
     A cluster starts at a UMI that no earlier UMI (in order of reads) leads to. From two reads up,
@@ -63,17 +64,16 @@ def _directional(keys: DataFrame) -> DataFrame:
 
     single = F.col("n") == 1
     edges = near.filter(single & (F.col("_first") != F.col("umi"))).select(
-        F.struct(*node).alias("src"),
-        F.struct("cell", "gene", F.col("_first").alias("umi")).alias("dst"),
+        "cell", "gene", F.col("umi").alias("src"), F.col("_first").alias("dst")
     )
-    components = connected_components(edges)
-    ones = parents.filter(single).select(F.struct(*node).alias("node"), "_linked")
+    components = grouped_components(edges.distinct(), ["cell", "gene"], max_edges)
+    ones = parents.filter(single).select("cell", "gene", F.col("umi").alias("node"), "_linked")
     sets = (
-        ones.join(components, "node", "left")
-        .groupBy(F.coalesce("component", "node").alias("component"))
+        ones.join(components, ["cell", "gene", "node"], "left")
+        .groupBy("cell", "gene", F.coalesce("component", "node").alias("component"))
         .agg(F.max("_linked").alias("_linked"))
         .filter(~F.col("_linked"))
-        .select("component.cell", "component.gene")
+        .select("cell", "gene")
     )
     clusters = starts.filter(~single).select("cell", "gene").unionByName(sets)
     return clusters.groupBy("gene", "cell").agg(F.count(F.lit(1)).alias("count"))

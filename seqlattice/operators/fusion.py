@@ -174,16 +174,20 @@ def category_names(a: str, b: str) -> tuple[str, ...]:
 
 
 def _categories(a: str, b: str):
-    names = F.array("gene1_name", "gene2_name")
-    has_a, has_b = F.array_contains(names, a), F.array_contains(names, b)
+    """Sorted category names as one of four constant arrays, so nothing is built per row."""
+    has_a = (F.col("gene1_name") == a) | (F.col("gene2_name") == a)
+    has_b = (F.col("gene1_name") == b) | (F.col("gene2_name") == b)
     whole, any_a, any_b, both = category_names(a, b)
-    found = F.array(
-        F.lit(whole),
-        F.when(has_a, F.lit(any_a)),
-        F.when(has_b, F.lit(any_b)),
-        F.when(has_a & has_b, F.lit(both)),
+
+    def constant(*names: str):
+        return F.array(*[F.lit(n) for n in sorted(names)])
+
+    return (
+        F.when(has_a & has_b, constant(whole, any_a, any_b, both))
+        .when(has_a, constant(whole, any_a))
+        .when(has_b, constant(whole, any_b))
+        .otherwise(constant(whole))
     )
-    return F.array_sort(F.filter(found, lambda c: c.isNotNull()))
 
 
 def attach_metadata(junctions: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
@@ -248,9 +252,8 @@ def annotation_report(annotated: DataFrame) -> DataFrame:
 def category_support(annotated: DataFrame, called: DataFrame) -> DataFrame:
     """One row per category and read; the last record of a read gives its tags."""
     rows = annotated.select(F.explode("categories").alias("category"), "original_qname", "source_line", "CB", "UB")
-    last = rows.groupBy("category", "original_qname").agg(
-        F.max(F.struct("source_line", "CB", "UB")).alias("_last")
-    )
+    # The read name leads the key: it tells rows apart in the sort's key prefix.
+    last = rows.groupBy("original_qname", "category").agg(F.max(F.struct("source_line", "CB", "UB")).alias("_last"))
     barcodes = called.select(F.col("barcode").alias("CB"), F.lit(1).alias("called_cell")).dropDuplicates()
     return (
         last.select("category", "original_qname", "_last.CB", "_last.UB")

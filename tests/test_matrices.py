@@ -136,7 +136,8 @@ def directional(counts):
     return clusters
 
 
-def test_directional_equals_brute_force(spark):
+@pytest.mark.parametrize("max_edges", [500_000, 20])
+def test_directional_equals_brute_force(spark, max_edges):
     rnd = random.Random(1)
     reads = []
     for cell, gene in itertools.product(range(4), range(3)):
@@ -150,7 +151,7 @@ def test_directional_equals_brute_force(spark):
     groups = defaultdict(Counter)
     for cell, gene, umi in reads:
         groups[(gene, cell)][umi] += 1
-    got = {(r["gene"], r["cell"]): r["count"] for r in C.dedup_umis(df, method="directional").collect()}
+    got = {(r["gene"], r["cell"]): r["count"] for r in C.dedup_umis(df, method="directional", max_edges=max_edges).collect()}
     assert got == {key: directional(c) for key, c in groups.items()} and got[("g", "fix")] == 1
     unique = {(r["gene"], r["cell"]): r["count"] for r in C.dedup_umis(df).collect()}
     assert unique == {key: len(c) for key, c in groups.items()} and unique[("g", "fix")] == 2

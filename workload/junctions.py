@@ -42,7 +42,7 @@ def junction_parse(spark, folder):
     tail = F.when(F.col("l_linenumber") == 7, "").otherwise("\t20M")
     text = F.concat(F.concat_ws("\t", *[F.lit(f) if isinstance(f, str) else f for f in fields]), tail)
     comment = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
-    lines = W.table(spark, folder, "lineitem").select(
+    lines = W.line_fields(spark, folder).select(
         F.col("l_suppkey").alias("sample"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
         F.when(comment, F.concat(F.lit(" # "), text)).otherwise(text).alias("value"),
@@ -129,7 +129,7 @@ def fusion_summary(spark, folder):
 )
 def interval_overlap(spark, folder):
     position = (F.col("l_partkey") * 20 + F.col("l_quantity")).cast("bigint")
-    points = W.table(spark, folder, "lineitem").select(
+    points = W.line_fields(spark, folder).select(
         W._contig(position).alias("chrom"), position.alias("pos"), F.col("l_quantity").cast("bigint").alias("q")
     )
     genes = W.gene_intervals(spark, folder).select("chrom", "start", "end", "gene_id")
@@ -220,7 +220,7 @@ KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_
 
 def _assigned(spark, folder):
     position = (F.col("l_partkey") * 20 + F.col("l_quantity")).cast("bigint")
-    alignments = W.table(spark, folder, "lineitem").select(
+    alignments = W.line_fields(spark, folder).select(
         *KEY,
         F.when(F.col("l_linestatus") == "F", 1).when(F.col("l_tax") == 0.01, 9).otherwise(3).alias("flag"),
         W._contig(position).alias("rname"),
