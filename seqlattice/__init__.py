@@ -1,5 +1,5 @@
 """Spark DataFrame operators for sequencing-derived tables."""
 
-from seqlattice.session import build_session, checkpoint_folder, materialize
+from seqlattice.session import build_session, checkpoint_folder, materialize, release
 
-__all__ = ["build_session", "checkpoint_folder", "materialize"]
+__all__ = ["build_session", "checkpoint_folder", "materialize", "release"]

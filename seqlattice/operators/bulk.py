@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlattice.contracts import require
@@ -106,12 +106,13 @@ def tmm_factors(counts: DataFrame, libraries: DataFrame | None = None, reference
         .agg(F.max("_widest").alias("_widest"), mean.alias("_f"))
         .select("sample", F.when(F.col("_widest") < 1e-6, 0.0).otherwise(F.coalesce("_f", F.lit(0.0))).alias("_f"))
     )
-    raw = materialize(libraries.join(shift, "sample", "left").na.fill(0.0, subset=["_f"]))
-    center = raw.agg(F.avg("_f").alias("c")).first()["c"]
+    raw = libraries.join(shift, "sample", "left").na.fill(0.0, subset=["_f"])
+    # One row per library, so the mean over all of them is a small window.
+    center = F.avg("_f").over(Window.partitionBy(F.lit(1)))
     return raw.select(
         "sample",
         "library_size",
-        F.pow(F.lit(2.0), F.col("_f") - F.lit(center)).alias("norm_factor"),
+        F.pow(F.lit(2.0), F.col("_f") - center).alias("norm_factor"),
     ).withColumn("effective_library_size", F.col("library_size") * F.col("norm_factor"))
 
 

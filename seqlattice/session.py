@@ -45,6 +45,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back.
 
@@ -54,4 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written by ``materialize`` in this process; results built on them end here."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _WRITTEN:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(place.getFileSystem(hadoop).delete(place, True))
+    return count

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlattice.operators import bulk as B
+from seqlattice.session import materialize
 from workload import tables as W
 
 QUERIES, ORACLES = {}, {}
@@ -46,7 +47,9 @@ def filter_by_expr(spark, folder):
 
 
 def _kept(spark, folder):
-    return B.filter_by_expr(W.bulk_counts(spark, folder), W.bulk_samples(spark, folder))
+    # Used several times: written once.
+    counts = materialize(W.bulk_counts(spark, folder))
+    return materialize(B.filter_by_expr(counts, W.bulk_samples(spark, folder)))
 
 
 QUARTILES_SQL = """,
