@@ -7,12 +7,12 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqlattice.contracts import expect, expect_rows
+from seqlattice.sources.listing import absolute, store
 from seqlattice.sources.text import read_lines
 
 BATCH = 8192
@@ -21,7 +21,7 @@ FILE_FIELDS = ("file", "ordinal", "read_id", "seq", "qual")
 
 
 def _open(path: str):
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = store(path)
     stream = system.open_input_stream(inner, compression="detect")
     return io.TextIOWrapper(io.BufferedReader(stream), encoding="ascii", newline="\n")
 
@@ -133,7 +133,7 @@ class FastqFiles(DataSource):
 def read_fastq(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, ordinal, read_id, seq, qual`` with the raw header as ``read_id``."""
     spark.dataSource.register(FastqFiles)
-    return spark.read.format("fastq_files").option("files", json.dumps(list(paths))).load()
+    return spark.read.format("fastq_files").option("files", json.dumps([absolute(p) for p in paths])).load()
 
 
 def read_fastq_pairs(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def read_fastq_pairs(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     The file names of the manifest go to the planner, as for any file source.
     """
     spark.dataSource.register(FastqPairs)
-    pairs = [[r["sample"], r["r1"], r["r2"]] for r in manifest.select("sample", "r1", "r2").collect()]
+    pairs = [[r["sample"], absolute(r["r1"]), absolute(r["r2"])] for r in manifest.select("sample", "r1", "r2").collect()]
     return spark.read.format("fastq_pairs").option("pairs", json.dumps(pairs)).load()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Sequence
 
@@ -25,6 +26,7 @@ from seqlattice.contracts import (
 )
 from seqlattice.operators.ordering import row_numbers
 from seqlattice.schemas import SAFE_ID, Contrast, DeColumns, GeneColumns
+from seqlattice.sources.listing import absolute, store
 from seqlattice.sources.text import read_lines, sample_of
 
 DATASET_COLUMNS = ("dataset", "path", "format", "group", "assay", "feature_column")
@@ -48,18 +50,38 @@ def read_table(
 
 
 def read_manifest(
-    spark: SparkSession, path: str, required: Sequence[str] = ("sample", "r1", "r2"), exact: bool = True
+    spark: SparkSession,
+    path: str,
+    required: Sequence[str] = ("sample", "r1", "r2"),
+    exact: bool = True,
+    check_files: bool = False,
 ) -> DataFrame:
-    """Samples in file order with ``ordinal``; rows without a sample are skipped."""
+    """Samples in file order with ``ordinal``; blank rows are skipped.
+
+    Relative mate files are looked up next to the manifest. ``check_files`` asks the store for each.
+    """
     table = read_table(spark, path, exact=required if exact else None, subset=required, ordinal=True)
-    trimmed = table.select("ordinal", *[F.trim(c).alias(c) for c in table.columns if c != "ordinal"])
-    samples = trimmed.filter(F.coalesce("sample", F.lit("")) != "")
+    trimmed = table.select("ordinal", *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in table.columns if c != "ordinal"])
+    samples = trimmed.filter(F.concat(*required) != "")
     expect_rows(samples, "No samples in the manifest")
     expect_ids(samples, "sample", SAFE_ID)
     expect_unique(samples, ["sample"], "Duplicate sample")
     if {"r1", "r2"} <= set(required):
         both = (F.coalesce("r1", F.lit("")) != "") & (F.coalesce("r2", F.lit("")) != "") & (F.col("r1") != F.col("r2"))
         expect(samples, both, "Both mate files must be given and differ")
+        base = os.path.dirname(absolute(path))
+        for mate in ("r1", "r2"):
+            found = F.col(mate)
+            samples = samples.withColumn(
+                mate, F.when(found.rlike(r"^(/|[A-Za-z0-9+.-]+:)"), found).otherwise(F.concat(F.lit(f"{base}/"), found))
+            )
+        if check_files:
+            # Two names per manifest line.
+            for row in samples.select("r1", "r2").collect():
+                for name in row:
+                    system, inner = store(name)
+                    info = system.get_file_info(inner)
+                    require(info.type == fs.FileType.File and info.size > 0, f"Missing or empty mate file: {name}")
     return samples
 
 
@@ -254,7 +276,7 @@ def _sha256():
     @F.pandas_udf(StringType())
     def digest(paths: pd.Series) -> pd.Series:
         def one(path: str) -> str:
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = store(path)
             state = hashlib.sha256()
             with system.open_input_stream(inner, compression=None) as stream:
                 while block := stream.read(1 << 20):
@@ -274,8 +296,8 @@ def hash_files(spark: SparkSession, inputs: DataFrame, path: str = "path", label
     listed = []
     # One row per manifest line.
     for row in inputs.select("ordinal", label, path).collect():
-        place = row[path].rstrip("/")
-        system, inner = fs.FileSystem.from_uri(place)
+        place = absolute(row[path]).rstrip("/")
+        system, inner = store(place)
         info = system.get_file_info(inner)
         require(info.type != fs.FileType.NotFound, f"Missing input: {place}")
         files = [info]

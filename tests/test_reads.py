@@ -186,12 +186,24 @@ def test_manifest_contracts(spark, tmp_path):
         "sample\tr1\tr2\n",
         "sample\tr1\tr2\na\tx\ty\na\tx\tz\n",
         "sample\tr1\tr2\n-a\tx\ty\n",
+        "sample\tr1\tr2\n\tx\ty\n",
         "sample\tr1\tr2\na\tx\tx\n",
     ):
         with pytest.raises(ContractError):
             load(body)
 
 
+def test_manifest_files_are_found_next_to_it(spark, tmp_path):
+    one, two = edge_records()
+    put_fastq(tmp_path / "r1.fastq.gz", one), put_fastq(tmp_path / "r2.fastq.gz", two)
+    (tmp_path / "m.tsv").write_text("sample\tr1\tr2\ncell\tr1.fastq.gz\tr2.fastq.gz\n")
+    manifest = tables.read_manifest(spark, str(tmp_path / "m.tsv"), check_files=True)
+    assert extract_umis(spark, manifest).count() == 4
+    (tmp_path / "m.tsv").write_text("sample\tr1\tr2\ncell\tr1.fastq.gz\tother.gz\n")
+    with pytest.raises(ContractError):
+        tables.read_manifest(spark, str(tmp_path / "m.tsv"), check_files=True)
+
+
 def test_tags(spark):
     df = spark.createDataFrame([("r|CB:c|UB:u",), ("r|CB:c|UB:",)], "name string")
     tagged = df.select(R.extract_tag("name", "CB").alias("CB"), R.extract_tag("name", "UB").alias("UB"))
