@@ -225,21 +225,21 @@ def poisson_dataset(spark, label, shift):
 
 
 def test_joint_embedding(spark, tmp_path):
-    data = {"pbmc": poisson_dataset(spark, "P", 0), "k562": poisson_dataset(spark, "K", 8)}
-    groups = {"pbmc": "PBMC", "k562": "K562-r"}
+    data = {"pbmc": poisson_dataset(spark, "P", 0), "line": poisson_dataset(spark, "K", 8)}
+    groups = {"pbmc": "PBMC", "line": "LINE-r"}
     (tmp_path / "c.tsv").write_text("sample\texpected_BCR_ABL1_candidate\n" + "".join(f"K{i}\t{int(i in (1, 3))}\n" for i in range(1, 7)))
     candidates = tables.read_candidates(spark, str(tmp_path / "c.tsv"))
-    result = joint_embedding.run(data, groups, candidates, "K562-r", 30, 20, 5, 4, 3)
+    result = joint_embedding.run(data, groups, candidates, "LINE-r", 30, 20, 5, 4, 3)
     joint, own = result.joint.collect(), result.group.collect()
     assert len(joint) == 12 and len(own) == 6 and sum(r["fusion_candidate"] for r in joint) == 2
-    again = {r["cell"]: r["PC_1"] for r in joint_embedding.run(data, groups, candidates, "K562-r", 30, 20, 5, 4, 3).joint.collect()}
+    again = {r["cell"]: r["PC_1"] for r in joint_embedding.run(data, groups, candidates, "LINE-r", 30, 20, 5, 4, 3).joint.collect()}
     assert [abs(again[r["cell"]]) for r in joint] == pytest.approx([abs(r["PC_1"]) for r in joint])
     first = {r["cell"]: r["PC_1"] for r in joint}
-    split = [first[f"pbmc_P{i}"] for i in range(1, 7)], [first[f"k562_K{i}"] for i in range(1, 7)]
+    split = [first[f"pbmc_P{i}"] for i in range(1, 7)], [first[f"line_K{i}"] for i in range(1, 7)]
     assert max(split[0]) < min(split[1]) or max(split[1]) < min(split[0])
     assert result.joint_graph.groupBy("cell").count().filter("count <> 11").count() == 0
     with pytest.raises(ContractError, match="K6"):
-        joint_embedding.run(data, groups, candidates.filter("sample <> 'K6'"), "K562-r", 30, 20, 5, 4, 3)
+        joint_embedding.run(data, groups, candidates.filter("sample <> 'K6'"), "LINE-r", 30, 20, 5, 4, 3)
     for body in ("sample\texpected_BCR_ABL1_candidate\nK1\t\n", "sample\texpected_BCR_ABL1_candidate\nK1\t2\n", "sample\tx\nK1\t1\n"):
         (tmp_path / "c.tsv").write_text(body)
         with pytest.raises(ContractError):
