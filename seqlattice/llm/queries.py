@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import chunks, packing, sharding, urlfilter, warc
+from seqlattice.llm import chunks, jaccard, packing, sharding, substrings, urlfilter, warc
 
 # The rules of the url query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,6 +28,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_table(spark, folder, "documents"), size=4, threshold=85)
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS r(host, path, verdict)")
     return urlfilter.judge(_table(spark, folder, "pages"), rules)
@@ -51,7 +55,12 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op1_warc, op5_url_filter, op6_sharding, op7_bpe, op8_packing)}
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (op1_warc, op3_ngram_join, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup)}
 
 _PARTS = """
     SELECT page_id, url, translate(regexp_extract(after, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

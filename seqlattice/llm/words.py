@@ -132,7 +132,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for t in short:
         run = h[words.first[t] : words.first[t + 1]]
         k = np.arange(len(run), dtype=U64)
-        out[first[t]] = mix(np.add.reduce(mix(run + k + U64(1)) * (U64(2) * k + U64(3)), keepdims=True) + U64(len(run)) * U64(_BASE))[0]
+        out[first[t]] = mix(np.add.reduce(mix(run + k + U64(1)) * (U64(2) * k + U64(3)), keepdims=True) + np.full(1, len(run), U64) * U64(_BASE))[0]
     return out, first
 
 
