@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import chunks, jaccard, packing, sharding, substrings, urlfilter, warc
+from seqlattice.llm import chunks, graphsearch, jaccard, langid, nearpairs, packing, sharding, substrings, urlfilter, warc
 
 # The rules of the url query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -28,10 +28,20 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return nearpairs.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_table(spark, folder, "documents"), size=4, threshold=85)
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    named = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS r(host, path, verdict)")
     return urlfilter.judge(_table(spark, folder, "pages"), rules)
@@ -60,7 +70,12 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_warc, op3_ngram_join, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup)}
+def op10_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return graphsearch.search(graphsearch.build_index(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors)}
 
 _PARTS = """
     SELECT page_id, url, translate(regexp_extract(after, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

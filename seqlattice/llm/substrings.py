@@ -210,8 +210,8 @@ def _entry(grp: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["grp", "keys", "starts", "sizes", "heads", "low", "high", "settled"])
 
 
-def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, text_col: str = "text", kept_col: str = "kept") -> DataFrame:
-    """``docs`` with ``kept``, ``n_words`` and ``n_removed``.
+def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, text_col: str = "text", kept_col: str = "kept", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """``docs`` with ``kept`` and ``counts``, the numbers of its words and of those removed.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Each word covered by ``size`` consecutive words of one text whose sequence also
     starts anywhere else in the table, the same text included, is removed; windows are judged on the input. ``kept``
@@ -221,7 +221,7 @@ def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int
     A row is known by the 64-bit hash of its columns that can be hashed; rows with equal values share their spans, which
     are equal too.
     """
-    names = [c for c in docs.columns if c not in (kept_col, "n_words", "n_removed")]
+    names = [c for c in docs.columns if c not in (kept_col, *counts)]
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     row = F.xxhash64(*hashed)
     spans = repeated_spans(docs.select(row.alias("row_key"), F.col(text_col).cast("string").alias("text")), size, prefix, group)
@@ -247,6 +247,6 @@ def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int
                 gone.append(total[-1] - len(found))
                 kept.append(b" ".join(found).decode())
             columns = [*batch.columns[:-3], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, kept_col, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, kept_col, *counts])
 
-    return out.mapInArrow(strip, f"{fields}, `{kept_col}` string, n_words bigint, n_removed bigint")
+    return out.mapInArrow(strip, f"{fields}, `{kept_col}` string, `{counts[0]}` bigint, `{counts[1]}` bigint")
