@@ -90,7 +90,8 @@ class Chunks:
         self._learn(data, start, end, keys, head, stop, names)
         parts = [self.known[n] for n in names]
         joins = np.flatnonzero(np.isin(head[1:], first[:-1], invert=True)) + 1
-        self._repair(data, start, end, keys, head, joins.tolist(), parts)
+        text = np.searchsorted(first, head, "right") - 1
+        self._repair(data, start, end, keys, head, joins.tolist(), parts, first[text], first[text + 1])
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
         return flat, sizes[np.searchsorted(head, first)]
@@ -120,45 +121,58 @@ class Chunks:
             self.known[name] = ids[at[k] : at[k + 1]]
             self.held += int(at[k + 1] - at[k])
 
-    def _repair(self, data, start, end, keys, head, joins, parts) -> None:
-        """Make the ids around each join those of its text as a whole.
+    def _repair(self, data, start, end, keys, head, joins, parts, lowest, highest) -> None:
+        """Make the ids around each join those of its text, the units ``lowest`` to ``highest``, as a whole.
 
         The last unit before a join and the first after it are encoded together. If the result is not the two units'
-        ids in a row, more units are taken on both sides until it begins and ends as the outermost units do.
+        ids in a row, more units are taken on both sides until it begins and ends as the outermost units do; those ids
+        replace the ones of their units. The region ends where a word does. Where the two chunks are too short for that, the whole text is encoded.
         """
         ask = []
         for j in joins:
-            h = int(head[j])
-            pair = (int(keys[h - 1]), int(keys[h]))
+            pair = (int(keys[head[j] - 1]), int(keys[head[j]]))
             if pair not in self.agreed:
-                ask.append((j, h, pair))
+                ask.append((j, int(head[j]), pair))
         if not ask:
             return
         raw = data.tobytes()
         text = lambda a, b: raw[start[a] : end[b - 1]].decode("utf-8")
-        h = np.array([a[1] for a in ask])
-        sides = bpe.encode_many(self.path, [text(x - 1, x + 1) for x in h])
-        left = bpe.encode_many(self.path, [text(x - 1, x) for x in h])
-        right = bpe.encode_many(self.path, [text(x, x + 1) for x in h])
-        for (j, at, pair), both, a, b in zip(ask, sides, left, right):
-            if both == a + b:
+        some = lambda spans: bpe.encode_many(self.path, [text(a, b) for a, b in spans])
+        # A unit that begins inside white space says nothing about the ids before it.
+        edge = lambda a: not raw[start[a] - 1 : start[a]].isspace()
+        both = some((h - 1, h + 1) for _, h, _ in ask)
+        left = some((h - 1, h) for _, h, _ in ask)
+        right = some((h, h + 1) for _, h, _ in ask)
+        # From which unit on a part still holds its own ids, after a repair of the join before it.
+        begin = head.tolist()
+        entire: set[int] = set()
+        for (j, at, pair), whole, a, b in zip(ask, both, left, right):
+            if whole == a + b:
                 self.agreed.add(pair)
                 continue
-            low, high = int(head[j - 1]), int(head[j + 1]) if j + 1 < len(head) else len(start)
+            if int(lowest[j]) in entire:
+                continue
+            low, high = begin[j - 1], int(head[j + 1]) if j + 1 < len(head) else len(start)
             reach = 1
             while True:
                 reach *= 2
                 first, last = max(low, at - reach), min(high, at + reach)
-                whole = bpe.encode_many(self.path, [text(first, last)])[0]
-                lead, close = bpe.encode_many(self.path, [text(first, first + 1), text(last - 1, last)])
-                inner = first == low or whole[: len(lead)] == lead
-                outer = last == high or whole[len(whole) - len(close) :] == close
-                if (inner and outer) or (first == low and last == high):
+                whole, lead, close = some([(first, last), (first, first + 1), (last - 1, last)])
+                agrees = first == lowest[j] or (edge(first) and whole[: len(lead)] == lead)
+                agrees &= last == highest[j] or (edge(last) and whole[len(whole) - len(close) :] == close)
+                if agrees or (first == low and last == high):
                     break
-            before = bpe.encode_many(self.path, [text(low, first)])[0] if first > low else []
-            after = bpe.encode_many(self.path, [text(last, high)])[0] if last < high else []
+            if not agrees:
+                entire.add(int(lowest[j]))
+                mine = np.flatnonzero((head >= lowest[j]) & (head < highest[j]))
+                for k in mine[1:].tolist():
+                    parts[k] = np.zeros(0, np.int32)
+                parts[mine[0]] = np.array(some([(int(lowest[j]), int(highest[j]))])[0], np.int32)
+                continue
+            before, after = (some([(x, y)])[0] if x < y else [] for x, y in ((low, first), (last, high)))
             parts[j - 1] = np.array(before + whole, np.int32)
             parts[j] = np.array(after, np.int32)
+            begin[j] = last
 
 
 _CHUNKS: dict[str, Chunks] = {}
