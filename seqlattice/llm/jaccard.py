@@ -128,10 +128,25 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
     def shared(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, grams = _gathered(batches, np.uint32)
         often = np.add.reduceat((_frequency(grams) > 1).astype(np.int64), np.cumsum(counts) - counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often > 0]), pa.array(often[often > 0])], ["set_key", "often"])
-
-    blocks = docs.mapInArrow(deal, _BLOCK).groupBy("part").applyInArrow(shared, "set_key long, often long")
-    often = blocks.groupBy("set_key").agg(F.sum("often").alias("often"))
+        keys, often = keys[often > 0], often[often > 0].astype(np.uint32)
+        # The counts of many sets travel in one row, by a hash of their key.
+        part = (words.mix(keys.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+            columns = [pa.array([part[rows[0]]], pa.int64()), pa.array([keys[rows].tobytes()], pa.binary()), pa.array([often[rows].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "often"])
+
+    def total(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, often = [], []
+        for batch in batches:
+            keys += [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
+            often += [np.frombuffer(b, np.uint32) for b in batch.column(2).to_pylist()]
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(back, np.concatenate(often)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(sums)], ["set_key", "often"])
+
+    blocks = docs.mapInArrow(deal, _BLOCK).groupBy("part").applyInArrow(shared, "part long, keys binary, often binary")
+    often = blocks.groupBy("part").applyInArrow(total, "set_key long, often long")
     return sets.join(often, "set_key").filter(F.col("often") * 100 >= F.col("n_shingles") * threshold).select("set_key", "n_shingles", "doc_id")
 
 
