@@ -1,4 +1,4 @@
-"""Data contracts: each check is one aggregated job, and raises with a few offending rows."""
+"""Data contracts: each check is a job of its own that stops at the first few offending rows and raises with them."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def whole_count(column: Column | str, tolerance: float = 0.0) -> Column:
 
 
 def expect_counts(df: DataFrame, column: str = "count", tolerance: float = 0.0) -> DataFrame:
-    return expect(df, whole_count(column, tolerance), "Counts must be finite, non-negative integers")
+    return expect(df, whole_count(column, tolerance), "Not a whole number of zero or more")
 
 
 def expect_positive_totals(df: DataFrame, key: str, value: str, message: str) -> DataFrame:

@@ -8,10 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.contracts import expect, expect_ids, expect_references, expect_rows, expect_unique, require
+from seqlattice.contracts import expect, expect_references, expect_unique, require
 from seqlattice.operators.graph import GROUP_EDGES, grouped_components
 from seqlattice.operators.ordering import row_numbers, scan, slice_rows
-from seqlattice.schemas import SAFE_ID
 from seqlattice.session import materialize
 
 
@@ -297,10 +296,3 @@ def attach_candidates(data: CellDataset, candidates: DataFrame, group: str, chec
         "fusion_candidate", F.coalesce("candidate", F.lit(0))
     )
     return replace(data, cells=cells.drop("candidate"))
-
-
-def check_manifest(manifest: DataFrame) -> DataFrame:
-    expect_rows(manifest, "No samples in the manifest")
-    expect_ids(manifest, "sample", SAFE_ID)
-    return expect_unique(manifest, ["sample"], "Duplicate sample")
-

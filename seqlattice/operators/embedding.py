@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from seqlattice.contracts import require
 from seqlattice.operators.counts import CellDataset
@@ -132,39 +134,29 @@ def scale_genes(normalized: DataFrame, genes: DataFrame, cells: int, clip: float
     )
 
 
-def _scatter(size: int):
-    @F.pandas_udf("array<double>")
-    def fill(index: pd.Series, value: pd.Series) -> pd.Series:
-        def one(i, v):
-            row = np.zeros(size)
-            row[np.asarray(i, dtype=int)] = v
-            return row
-
-        return pd.Series([one(i, v) for i, v in zip(index, value, strict=True)])
-
-    return fill
-
-
 def principal_components(scaled: DataFrame, cells: DataFrame, genes: int, k: int) -> DataFrame:
-    """``cell, pcs`` from z-scores with a gene ``rank`` from 1.
+    """``cell, pcs`` from z-scores with a gene ``rank`` from 1; the scores of each component have mean zero.
 
-    Components do not change when a column is shifted, so each cell's vector holds differences from
-    the zero score; a row is as long as the number of chosen features.
+    Components do not change when a column is shifted, so each cell's sparse vector holds differences from the zero score, and
+    only of the genes it expresses. The fitted transform multiplies these differences as they are; the product of their
+    means with the loadings, one vector of ``k`` numbers, is taken off afterwards.
     """
-    entries = scaled.groupBy("cell").agg(
-        F.collect_list(F.struct((F.col("rank") - 1).alias("i"), (F.col("z") - F.col("z0")).alias("d"))).alias("_e")
-    )
-    none = F.array().cast("array<double>")
-    vectors = cells.select("cell").join(entries, "cell", "left").select(
-        "cell",
-        _scatter(genes)(
-            F.coalesce(F.col("_e.i"), none.cast("array<int>")), F.coalesce(F.col("_e.d"), none)
-        ).alias("_row"),
+    entry = F.struct((F.col("rank") - 1).cast("int").alias("i"), (F.col("z") - F.col("z0")).alias("d"))
+    entries = scaled.groupBy("cell").agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    none = F.array().cast("array<struct<i:int,d:double>>")
+    vectors = cells.select("cell").join(entries, "cell", "left").select("cell", F.coalesce("_e", none).alias("_e"))
+    # The stored form of a sparse vector: kind 0, size, indices, values.
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(genes).alias("size"), F.col("_e.i").alias("indices"), F.col("_e.d").alias("values")
     )
-    table = materialize(vectors)
-    features = table.select("cell", array_to_vector("_row").alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="_pcs").fit(features)
-    return model.transform(features).select("cell", vector_to_array("_pcs").alias("pcs"))
+    rows = vectors.select("cell", stored.alias("features"))
+    kinds = [StructField("features", VectorUDT()) if f.name == "features" else f for f in rows.schema.fields]
+    table = materialize(rows, StructType(kinds))
+    model = PCA(k=k, inputCol="features", outputCol="_pcs").fit(table)
+    scores = model.transform(table).select("cell", vector_to_array("_pcs").alias("pcs"))
+    centre = scores.agg(*[F.avg(F.col("pcs")[i]).alias(f"m{i}") for i in range(k)]).first()
+    shift = F.array(*[F.lit(float(centre[i] or 0.0)) for i in range(k)])
+    return scores.select("cell", F.zip_with("pcs", shift, lambda s, m: s - m).alias("pcs"))
 
 
 def component_count(cells: int, genes: int, wanted: int = 30) -> int:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -317,8 +316,3 @@ def check_metadata(metadata: DataFrame) -> DataFrame:
     distinct = metadata.dropDuplicates()
     expect_unique(distinct, ["star_read_name"], "Conflicting metadata for a read name")
     return distinct
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    """Append tables by column name."""
-    return reduce(DataFrame.unionByName, frames)

@@ -9,6 +9,7 @@ out once, so every later use sees the same slices, also after an executor is los
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def slice_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def _same(keys: Sequence[str]) -> Column:
+    """Equal keys, nulls included, of a table and one whose keys are prefixed."""
+    equal = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return reduce(lambda a, b: a & b, equal)
+
+
 def scan(
     table: DataFrame,
     by: Sequence[str],
@@ -58,11 +65,11 @@ def scan(
     # One row per slice of a group: never more rows than there are range partitions.
     across = Window.partitionBy(*by).orderBy(slices).rowsBetween(Window.unboundedPreceding, -1)
     shifts = per_slice.select(
-        *keys,
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
         aggregate("_slice_value").over(across).alias("_before"),
         aggregate("_slice_value").over(Window.partitionBy(*by)).alias("_total"),
     )
-    joined = running.withColumn("_local", aggregate("_value").over(local)).join(shifts, keys)
+    joined = running.withColumn("_local", aggregate("_value").over(local)).join(shifts, _same(keys))
     merged = (
         F.when(F.col("_before").isNull(), F.col("_local"))
         .when(F.col("_local").isNull(), F.col("_before"))
@@ -85,10 +92,18 @@ def weighted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add the rank of ``value`` in its group, ties sharing their mean rank."""
-    table = scan(slice_rows(weighted(df, by, value), by, [value]), by, [value], "_upto", "n")
+    """Add the rank of ``value`` in its group, ties sharing their mean rank; a null value is not ranked and gets a null."""
+    present = weighted(df.filter(F.col(value).isNotNull()), by, value)
+    table = scan(slice_rows(present, by, [value]), by, [value], "_upto", "n")
     ranks = table.select(*by, value, (F.col("_upto") - (F.col("n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, value])
+    return _joined_back(df, ranks, [*by, value], name)
+
+
+def _joined_back(df: DataFrame, found: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name`` from one row per key; keys may be null, and rows without a match keep a null."""
+    other = found.select(*[F.col(k).alias(f"_key_{k}") for k in keys], name)
+    order = [*keys, *[c for c in df.columns if c not in keys]]
+    return df.join(other, _same(keys), "left").select(*order, name)
 
 
 def weighted_quantiles(
@@ -128,11 +143,12 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str) -> DataFrame:
-    """Add the false discovery rate over all rows.
+    """Add the false discovery rate over all rows with a p-value; a null stays and gets a null.
 
     For tied p-values the last rank gives the smallest ratio, so distinct values suffice.
     """
-    table = scan(slice_rows(weighted(df, [], p), [], [p]), [], [p], "_upto", "n", total="_size")
+    present = weighted(df.filter(F.col(p).isNotNull()), [], p)
+    table = scan(slice_rows(present, [], [p]), [], [p], "_upto", "n", total="_size")
     ratio = F.col(p) * F.col("_size") / F.col("_upto")
     adjusted = scan(table, [], [p], name, F.least(F.lit(1.0), ratio), how="min", reverse=True)
-    return df.join(adjusted.select(p, name), p)
+    return _joined_back(df, adjusted.select(p, name), [p], name)

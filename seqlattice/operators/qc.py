@@ -34,7 +34,7 @@ def qc_flags(
     umi_threshold: int = UMI_THRESHOLD,
 ) -> DataFrame:
     """Inclusive upper bounds on assigned reads and molecules; both must hold to keep a sample."""
-    require(assigned_threshold >= 0 and umi_threshold >= 0, "QC thresholds must be non-negative")
+    require(assigned_threshold >= 0 and umi_threshold >= 0, "A threshold is below zero")
     reads, molecules = F.col(assigned) <= assigned_threshold, F.col(umis) <= umi_threshold
     return (
         samples.withColumn("assigned_read_pass", reads.cast("int"))

@@ -160,7 +160,3 @@ def assign_reads(
         .withColumn("gene_id", F.when(F.col("status") == "Assigned", F.col("_low")))
         .drop("_low", "_high")
     )
-
-
-def assignment_summary(assigned: DataFrame, by: Sequence[str] = ("sample",)) -> DataFrame:
-    return assigned.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("value"))

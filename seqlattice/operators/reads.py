@@ -163,23 +163,35 @@ def bottom_k(
     ordinal: str = "ordinal",
     method: str = "blake2b",
     check: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``k`` rows with the smallest seeded hash, renumbered from 1 in input order.
+    """The ``k`` rows of each ``by`` group with the smallest seeded hash, renumbered from 1 in input order.
 
-    Only key and ordinal are sorted, as a top-k; the rows themselves come from a join with the picks.
+    ``by`` and ``ordinal`` together name a row. Only they and the key are sorted, as a top-k; the rows themselves come from
+    a join with the picks. ``check`` asks for ``k`` rows in each group.
     """
-    scored = df.select(ordinal, selection_score(key, seed, method).alias("_score"))
-    picked = scored.orderBy("_score", ordinal).limit(k)
-    if check:
-        found = scored.limit(k).count()
-        require(found == k, f"Requested {k} rows, but the input has {found}")
-    # At most k rows: k is the size of the subset asked for.
-    numbered = picked.select(ordinal, F.row_number().over(Window.orderBy(ordinal)).cast("bigint").alias("output_index"))
-    return df.join(numbered, ordinal)
-
-
-def subset_summary(pairs: DataFrame, chosen: DataFrame, sample: str, seed, anchor=ANCHOR, length=UMI_LENGTH) -> DataFrame:
-    """Provenance counts of a subset as ``metric, value`` rows."""
+    place = [*by, ordinal]
+    scored = df.select(*place, selection_score(key, seed, method).alias("_score"))
+    if by:
+        least = Window.partitionBy(*by).orderBy("_score", ordinal)
+        picked = scored.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= k)
+        if check:
+            expect(scored.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")), F.col("rows") >= k, f"Fewer than {k} rows to choose from")
+    else:
+        picked = scored.orderBy("_score", ordinal).limit(k)
+        if check:
+            found = scored.limit(k).count()
+            require(found == k, f"{k} rows are asked for, and the input has {found}")
+    # At most k rows in a window: k is the size of the subset asked for.
+    inside = Window.partitionBy(*by).orderBy(ordinal) if by else Window.orderBy(ordinal)
+    numbered = picked.select(*place, F.row_number().over(inside).cast("bigint").alias("output_index"))
+    return df.join(numbered, place)
+
+
+def subset_summary(
+    pairs: DataFrame, chosen: DataFrame, sample: str, seed, anchor=ANCHOR, length=UMI_LENGTH, method: str = "blake2b"
+) -> DataFrame:
+    """Provenance counts of a subset as ``metric, value`` rows; ``method`` is that of ``bottom_k``."""
     complete = R.has_complete_umi("seq1", anchor, length)
 
     def counts(df: DataFrame, label: str) -> DataFrame:
@@ -196,7 +208,7 @@ def subset_summary(pairs: DataFrame, chosen: DataFrame, sample: str, seed, ancho
 
     fixed = [
         ("sample", sample),
-        ("selection_method", "smallest_blake2b_read_id_hashes"),
+        ("selection_method", f"smallest_{method}_read_id_hashes"),
         ("selection_seed", str(seed)),
         ("tso_sequence", anchor),
         ("umi_length", str(length)),

@@ -94,7 +94,7 @@ def run(
 
     data = M.keep_cells(cells, settings.keep_column) if settings.keep_column else cells
     label = F.col("condition").isNotNull() & (F.col("condition") != "")
-    expect(data.cells, label, "Retained scoring cells must have condition labels")
+    expect(data.cells, label, "Cells kept for scoring without a condition")
     if settings.feature_column:
         data = data.collapse(settings.feature_column)
     data = CellDataset(materialize(data.counts), materialize(data.features.select("gene").distinct()), materialize(data.cells))

@@ -31,11 +31,18 @@ def count_molecules(alignments: DataFrame, exons: DataFrame, method: str = "uniq
     return dedup_umis(assigned, method=method)
 
 
-def build_dataset(counts: DataFrame, manifest: DataFrame, annotation: DataFrame) -> CellDataset:
-    """Merge the samples' counts: genes annotated, cells exactly the manifest's samples in order."""
+def build_dataset(counts: DataFrame, manifest: DataFrame, annotation: DataFrame, tables: DataFrame | None = None) -> CellDataset:
+    """Merge the samples' counts: genes annotated, cells exactly the manifest's samples in order.
+
+    ``tables`` lists in ``sample`` whose count table is there, so that an empty table is a cell without molecules. Without
+    it each sample of the manifest needs a row in ``counts``.
+    """
     samples = manifest.select(F.col("sample").alias("cell"), "ordinal")
-    expect_references(counts.select("cell").distinct(), samples, ["cell"], "Counts of samples outside the manifest")
+    seen = counts.select("cell").distinct()
+    expect_references(seen, samples, ["cell"], "Counts of samples outside the manifest")
+    present = seen if tables is None else tables.select(F.col("sample").alias("cell"))
+    expect_references(samples, present, ["cell"], "Samples of the manifest without a count table")
     totals = gene_totals(counts)
-    require(not totals.filter("count > 0").isEmpty(), "No positive gene-level UMI counts were available to aggregate")
+    require(not totals.filter("count > 0").isEmpty(), "All counts are zero, so there is nothing to merge")
     genes = annotate_features(counts.select(F.col("gene").alias("gene_id")).distinct(), annotation)
     return CellDataset(totals.filter("count > 0"), genes.withColumn("gene", F.col("gene_id")), samples)

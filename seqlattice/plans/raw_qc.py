@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqlattice.contracts import expect_references
 from seqlattice.operators.ordering import quantiles
@@ -36,6 +37,7 @@ def run(
     assigned: DataFrame,
     counts: DataFrame,
     hashes: DataFrame | None = None,
+    tables: DataFrame | None = None,
     assigned_threshold: int = ASSIGNED_THRESHOLD,
     umi_threshold: int = UMI_THRESHOLD,
     assigned_percentile: float = ASSIGNED_PERCENTILE,
@@ -43,9 +45,13 @@ def run(
 ) -> RawQc:
     """Flags per sample, and the applied bounds next to the data's own percentiles.
 
-    ``assigned`` is ``sample, featurecounts_assigned``; ``hashes`` adds file hashes per sample.
+    ``assigned`` is ``sample, featurecounts_assigned``; ``hashes`` adds file hashes per sample. ``tables`` lists in
+    ``sample`` whose UMI table is there: a table without rows is a total of 0, a missing one an error. Without
+    ``tables`` each sample needs a row in ``counts``.
     """
     expect_references(manifest, assigned, ["sample"], "No assignment summary")
+    present = tables if tables is not None else counts.select(F.col("cell").alias("sample")).distinct()
+    expect_references(manifest, present, ["sample"], "No UMI count table")
     totals = umi_totals(counts, manifest).withColumnRenamed("total", "total_deduplicated_umis")
     rows = manifest.select("sample").join(assigned, "sample").join(totals, "sample")
     flags = qc_flags(rows, assigned_threshold=assigned_threshold, umi_threshold=umi_threshold)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,7 +27,32 @@ def build_session(master: str | None = None, conf: dict[str, str] | None = None)
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the executors, so that functions in Python find it from any working folder.
+
+    Once for each application; a package that is installed there already does no harm.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="spark-"), "seqlattice.zip")
+    with zipfile.ZipFile(place, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(place)
+    _SHIPPED.add(context.applicationId)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -48,8 +76,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back, as ``schema`` if its stored form is the same.
 
     Parquet rather than ``checkpoint()``: the plan runs once, later reads prune columns, and the
     planner knows the real size, so a join broadcasts the table only if it is small enough.
@@ -58,7 +86,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:

@@ -32,14 +32,14 @@ def records(path: str) -> Iterator[tuple[str, str, str]]:
         while header := handle.readline():
             seq, plus, qual = handle.readline(), handle.readline(), handle.readline()
             if not qual:
-                raise ValueError(f"Incomplete FASTQ record in {path}")
+                raise ValueError(f"{path} ends inside a record")
             if not header.startswith("@"):
-                raise ValueError(f"FASTQ header does not start with '@' in {path}: {header.rstrip()}")
+                raise ValueError(f"A record of {path} lacks its '@': {header.rstrip()}")
             if not plus.startswith("+"):
-                raise ValueError(f"FASTQ plus line does not start with '+' in {path}")
+                raise ValueError(f"The third line of a record lacks its '+' in {path}")
             seq, qual = seq.rstrip(), qual.rstrip()
             if len(seq) != len(qual):
-                raise ValueError(f"Sequence/quality length mismatch for read: {header.rstrip()[1:]}")
+                raise ValueError(f"Bases and qualities differ in number: {header.rstrip()[1:]}")
             yield header.rstrip()[1:], seq, qual
 
 
@@ -60,7 +60,7 @@ def mates(sample: str, r1: str, r2: str) -> Iterator[tuple]:
             raise ValueError(f"Mate files of {sample} have different numbers of records")
         name = plain_id(one[0])
         if name != plain_id(two[0]):
-            raise ValueError(f"Read IDs do not match: {one[0]} vs {two[0]}")
+            raise ValueError(f"The mates {one[0]} and {two[0]} differ in name")
         ordinal += 1
         yield sample, ordinal, name, one[1], one[2], two[1], two[2]
 
@@ -156,10 +156,10 @@ def read_fastq_text(spark: SparkSession, paths: Sequence[str], check: bool = Tru
         F.count(F.lit(1)).alias("n"),
     )
     if check:
-        expect(rows.select("file", "_r", "n"), F.col("n") == 4, "Incomplete FASTQ record")
+        expect(rows.select("file", "_r", "n"), F.col("n") == 4, "A record without four lines")
         form = F.col("h").startswith("@") & F.col("p").startswith("+")
         expect(rows.select("file", "h", "p"), form, "Malformed FASTQ record")
-        expect(rows.select("file", "h", "s", "q"), F.length("s") == F.length("q"), "Sequence/quality length mismatch")
+        expect(rows.select("file", "h", "s", "q"), F.length("s") == F.length("q"), "Bases and qualities differ in number")
     return rows.select(
         "file", (F.col("_r") + 1).alias("ordinal"), F.substring("h", 2, 1 << 30).alias("read_id"), F.col("s").alias("seq"), F.col("q").alias("qual")
     )
@@ -170,5 +170,5 @@ def count_fastq_records(spark: SparkSession, paths: Sequence[str], check: bool =
     counted = spark.read.text(list(paths)).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
     if check:
         expect_rows(counted, "No FASTQ lines")
-        expect(counted, F.col("lines") % 4 == 0, "FASTQ does not contain complete four-line records")
+        expect(counted, F.col("lines") % 4 == 0, "The number of lines is no multiple of four")
     return counted.select("file", F.floor(F.col("lines") / 4).alias("records"))

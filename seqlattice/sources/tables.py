@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -132,7 +132,7 @@ def read_bulk_matrix(
     genes = table.select(
         "ordinal", *[F.col(c).alias(n) for c, n in zip(gene, ("gene_id", "gene_name", "gene_biotype"), strict=True)], *wanted
     )
-    expect(genes.select("gene_id"), F.coalesce("gene_id", F.lit("")) != "", "Bulk gene IDs cannot be missing or empty")
+    expect(genes.select("gene_id"), F.coalesce("gene_id", F.lit("")) != "", "Bulk rows without a gene id")
     named = make_unique(genes, "gene_id", "ordinal", "gene")
     long = named.select(
         "gene",
@@ -200,7 +200,7 @@ def read_candidates(spark: SparkSession, path: str, a: str = "BCR", b: str = "AB
         value = F.col(f"{column}_call").startswith("candidate_").cast("int")
     rows = table.select("sample", value.alias("candidate"))
     expect_unique(rows, ["sample"], "Duplicate candidate sample")
-    return expect(rows, F.col("candidate").isin(0, 1), "Fusion candidate values must be binary")
+    return expect(rows, F.col("candidate").isin(0, 1), "A candidate flag is neither 0 nor 1")
 
 
 def read_cell_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -223,8 +223,13 @@ def read_dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ordinals(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    lines = read_lines(spark, path).withColumn("f", F.split("value", "\t"))
-    return lines.select(F.col("line_no").alias("ordinal"), *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    """Lines numbered through all parts of a folder, the parts in name order."""
+    lines = read_lines(spark, path)
+    # One row per part file.
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("_n")).select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.join(parts, "file").withColumn("f", F.split("value", "\t"))
+    return numbered.select((F.col("line_no") + F.col("_before")).alias("ordinal"), *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_mtx(
@@ -250,6 +255,9 @@ def read_mtx(
     if check:
         require(genes.count() == rows, "Feature count does not match matrix rows")
         require(cells.count() == columns, "Barcode count does not match matrix columns")
+        for name, table, size in (("feature", genes, rows), ("barcode", cells, columns)):
+            seen = table.agg(F.count_distinct("ordinal").alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).first()
+            require(size == 0 or (seen["n"], seen["low"], seen["high"]) == (size, 1, size), f"The {name} numbers are not 1 to {size}")
         require(triples.count() == entries, "Entry count does not match the size line")
         expect_counts(triples, "x", tolerance=1e-8)
     typed = triples.withColumn("x", F.round("x").cast("bigint"))
@@ -303,7 +311,7 @@ def hash_files(spark: SparkSession, inputs: DataFrame, path: str = "path", label
         files = [info]
         if info.type == fs.FileType.Directory:
             files = [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File]
-        require(bool(files), f"Input directory contains no files: {place}")
+        require(bool(files), f"No file below {place}")
         for found in files:
             relative = "." if found.path == inner else found.path[len(inner.rstrip("/")) + 1 :]
             whole = place if relative == "." else f"{place}/{relative}"

@@ -16,23 +16,22 @@ JUNCTION_FIELDS = 14
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``file, line_no, value`` with 1-based physical line numbers.
 
-    Big plain files stay split: lines are counted per split, and each split is shifted by the lines of
-    the splits before it. The counts are one row per split.
+    Big plain files stay split. The lines are written out once with their split and their place in it, so the counts
+    per split and the lines themselves come from one and the same scan, whatever splits the planner would choose another time;
+    each split is then shifted by the lines of the splits before it. The counts are one row per split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-
-    def scan() -> DataFrame:
-        return spark.read.text(paths).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_at"),
-            F.monotonically_increasing_id().alias("_id"),
-            "value",
-        )
-
-    splits = scan().groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    scan = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_id"),
+        "value",
+    )
+    lines = materialize(scan)
+    splits = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = materialize(splits.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    return scan().join(shifts, ["file", "_at"]).select(
+    shifts = splits.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(shifts, ["file", "_at"]).select(
         "file", (F.col("_id") - F.col("_first") + F.col("_shift") + 1).alias("line_no"), "value"
     )
 
@@ -105,7 +104,8 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_junctions(lines: DataFrame) -> DataFrame:
     """Junction records of ``sample, line_no, value`` lines; unusable ones are kept and flagged."""
-    records = lines.filter(~_blank() & ~F.ltrim("value").startswith("#")).withColumn("f", F.split("value", "\t"))
+    records = lines.filter((F.col("value") != "") & ~F.col("value").rlike(r"^\s*#")).withColumn("f", F.split("value", "\t"))
+    # The fields of a chimeric junction record.
     names = (
         "chrom1 pos1 strand1 chrom2 pos2 strand2 junction_type repeat_left repeat_right read_name "
         "start1 cigar1 start2 cigar2"

@@ -112,7 +112,7 @@ def write_primary(reads: DataFrame, fastq_path: str, metadata_path: str, mode: s
     """Primary reads as FASTQ and their metadata table, from the same rows."""
     require(fastq_path != metadata_path, "The outputs must differ")
     table = materialize(reads)
-    expect_rows(table, "No primary transcript records were exported")
+    expect_rows(table, "There are no reads to write")
     order = ["ordinal"] if "ordinal" in table.columns else []
     write_fastq(table.withColumnRenamed("star_read_name", "name"), fastq_path, order=order, mode=mode)
     write_tsv(table, metadata_path, ["star_read_name", "original_qname", "CB", "UB", "CR", "UR"], mode=mode)

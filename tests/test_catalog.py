@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on whole tables at the smallest scale."""
 
 import os
+import re
 
 import pytest
 
@@ -20,7 +21,8 @@ def link():
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) >= 60
-    assert set(QUERIES) - set(SQL) <= {
+    corpus = {name for name in QUERIES if name == "pipeline" or re.match(r"op\d+_", name)}
+    assert set(QUERIES) - set(SQL) - corpus <= {
         "bottom_k_blake2b", "file_hashes", "ql_test", "wilcoxon_markers", "concordance_p_values", "variable_features", "pca",
     }
 

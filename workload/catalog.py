@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("reads", "junctions", "matrices", "bulk", "cells")
+AREAS = ("reads", "junctions", "matrices", "bulk", "cells", "roundtrips")
 
 
 def collect(kind: str) -> dict:

@@ -194,13 +194,11 @@ def qc_thresholds(spark, folder):
     "umi_totals",
     """
     SELECT c_custkey AS sample, CAST(coalesce(sum(CAST(o_totalprice AS BIGINT)), 0) AS BIGINT) AS total
-    FROM customer LEFT JOIN (SELECT o_custkey, floor(o_totalprice) AS o_totalprice FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY 1
+    FROM customer LEFT JOIN (SELECT o_custkey, floor(o_totalprice) AS o_totalprice FROM orders) ON o_custkey = c_custkey GROUP BY 1
     """,
 )
 def umi_totals(spark, folder):
-    counts = W.table(spark, folder, "orders").filter("o_orderstatus = 'F'").select(
-        F.col("o_custkey").alias("cell"), F.floor("o_totalprice").alias("count")
-    )
+    counts = W.table(spark, folder, "orders").select(F.col("o_custkey").alias("cell"), F.floor("o_totalprice").alias("count"))
     return Q.umi_totals(counts, W.table(spark, folder, "customer").select(F.col("c_custkey").alias("sample")))
 
 
@@ -239,8 +237,8 @@ def average_ranks(spark, folder):
     """
     WITH p AS (SELECT p_partkey, ((p_partkey * 7919) % 997) / 9970.0::DOUBLE AS p FROM part),
     r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS rk, count(*) OVER () AS n FROM p)
-    SELECT p_partkey, p, round(least(1.0, min(p * n / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr_raw FROM r
-    """.replace("fdr_raw FROM r", "fdr FROM r"),
+    SELECT p_partkey, p, round(least(1.0, min(p * n / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr FROM r
+    """,
 )
 def bh_fdr(spark, folder):
     key = F.col("p_partkey")
@@ -248,6 +246,39 @@ def bh_fdr(spark, folder):
     return O.benjamini_hochberg(p, "p", "fdr").select("p_partkey", "p", F.round("fdr", 9).alias("fdr"))
 
 
+@query(
+    "bh_fdr_nulls",
+    """
+    WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN ((p_partkey * 7919) % 997) / 9970.0::DOUBLE END AS p FROM part),
+    r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS rk, count(*) OVER () AS n FROM p WHERE p IS NOT NULL)
+    SELECT p_partkey, p, round(least(1.0, min(p * n / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr FROM r
+    UNION ALL SELECT p_partkey, p, NULL FROM p WHERE p IS NULL
+    """,
+)
+def bh_fdr_nulls(spark, folder):
+    key = F.col("p_partkey")
+    p = W.table(spark, folder, "part").select("p_partkey", F.when(F.col("p_size") % 5 > 0, ((key * 7919) % 997) / 9970.0).alias("p"))
+    return O.benjamini_hochberg(p, "p", "fdr").select("p_partkey", "p", F.round("fdr", 9).alias("fdr"))
+
+
+@query(
+    "average_ranks_nulls",
+    """
+    WITH o AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS g, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS v, o_orderkey FROM orders)
+    SELECT o_orderkey, round(rank() OVER w + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0, 6) AS mean_rank
+    FROM o WHERE v IS NOT NULL WINDOW w AS (PARTITION BY g ORDER BY v)
+    UNION ALL SELECT o_orderkey, NULL FROM o WHERE v IS NULL
+    """,
+)
+def average_ranks_nulls(spark, folder):
+    orders = W.table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("g"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("v"),
+    )
+    return O.average_rank(orders, ["g"], "v", "r").select("o_orderkey", F.round("r", 6).alias("mean_rank"))
+
+
 def _tracking(spark, folder, legacy):
     key = F.get_json_object("props", "$.k")
     events = W.table(spark, folder, "events")

@@ -192,7 +192,7 @@ def bottom_k_blake2b(spark, folder):
     """
     WITH d AS (SELECT *, instr(text, 'the ') AS p FROM documents),
          s AS (SELECT * FROM d ORDER BY sha256('7:doc' || doc_id), doc_id LIMIT 100)
-    SELECT 'sample' AS metric, 'sub' AS value UNION ALL SELECT 'selection_method', 'smallest_blake2b_read_id_hashes'
+    SELECT 'sample' AS metric, 'sub' AS value UNION ALL SELECT 'selection_method', 'smallest_sha256_read_id_hashes'
     UNION ALL SELECT 'selection_seed', '7' UNION ALL SELECT 'tso_sequence', 'the ' UNION ALL SELECT 'umi_length', '8'
     UNION ALL SELECT 'source_total_read_pairs', CAST(count(*) AS VARCHAR) FROM d
     UNION ALL SELECT 'source_total_complete_tso_umi_pairs', CAST(count(*) AS VARCHAR) FROM d WHERE p > 0 AND length(text) >= p + 11
@@ -203,7 +203,7 @@ def bottom_k_blake2b(spark, folder):
 def subset_summary(spark, folder):
     pairs = read_pairs(spark, folder)
     chosen = O.bottom_k(pairs, "read_id", 100, 7, method="sha256", check=False)
-    return O.subset_summary(pairs, chosen, "sub", 7, ANCHOR, UMI_LENGTH)
+    return O.subset_summary(pairs, chosen, "sub", 7, ANCHOR, UMI_LENGTH, method="sha256")
 
 
 @query(

@@ -5,7 +5,6 @@ The SQL twins used by the checks stand next to each view.
 
 from __future__ import annotations
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,31 +19,13 @@ BIN = 512
 CONTIG = 4_000
 
 
-# Below this size a file is one or a few row groups, which is one or a few tasks.
-SMALL_FILE = 64 << 20
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The table dealt out to all cores if it is a small file; larger ones have splits enough."""
-    rows = table(spark, folder, name).select(*columns)
-    try:
-        system, path = fs.FileSystem.from_uri(f"{folder}/{name}.parquet")
-        info = system.get_file_info(path)
-    except (OSError, ValueError):
-        # A store that only Spark can reach: leave the splits as they are.
-        return rows
-    if info.type == fs.FileType.File and info.size < SMALL_FILE:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
-
-
 def line_fields(spark, folder) -> DataFrame:
     columns = "orderkey partkey suppkey linenumber quantity extendedprice discount tax returnflag linestatus".split()
-    return spread(spark, folder, "lineitem", *[f"l_{c}" for c in columns])
+    return table(spark, folder, "lineitem").select(*[f"l_{c}" for c in columns])
 
 
 # --- reads: documents ----------------------------------------------------------------------------
