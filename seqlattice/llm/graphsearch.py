@@ -20,11 +20,12 @@ from seqlattice.llm.vectors import keyed, matrix
 from seqlattice.session import materialize
 
 SHARD = 4096
-DEGREE = 32
+# Edges that pruning leaves, and edges that a point may gather from others before it is pruned again.
+DEGREE = 28
+ROOM = 44
 ALPHA = 1.2
-# Entries of the list that a search keeps, for building and for queries, and entries followed at once.
+# Entries of the list that a search keeps when building, and entries followed at once.
 BUILD = 64
-BEAM = 128
 WIDTH = 4
 # Vectors inserted, and queries searched, together.
 BATCH = 256
@@ -112,16 +113,18 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
     n = len(points)
     rng = np.random.default_rng(n)
     start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
-    edges = np.full((n + 1, degree), n)
+    edges = np.full((n + 1, ROOM), n)
     if n > 1:
-        edges[:n, : min(degree, n - 1)] = (np.arange(n)[:, None] + rng.integers(1, n, (n, min(degree, n - 1)))) % n
+        few = min(degree // 2, n - 1)
+        edges[:n, :few] = (np.arange(n)[:, None] + rng.integers(1, n, (n, few))) % n
     order = rng.permutation(n)
     for cut in range(0, n, BATCH):
         rows = order[cut : cut + BATCH]
         met, _ = beam_search(points, edges, start, points[rows], size)
         kept = robust_prune(points, rows, np.concatenate([met, np.where(edges[rows] == n, -1, edges[rows])], axis=1), degree, alpha)
-        edges[rows] = np.where(kept < 0, n, kept)
-        # The way back, pruned where it has no room.
+        edges[rows] = n
+        edges[rows, :degree] = np.where(kept < 0, n, kept)
+        # The way back: added where there is room, pruned where not.
         source, slot = np.nonzero(kept >= 0)
         target, source = kept[source, slot], rows[source]
         by = np.argsort(target, kind="stable")
@@ -131,10 +134,17 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
         wide = np.full((len(head), int(size_of.max(initial=0))), -1)
         wide[np.repeat(np.arange(len(head)), size_of), np.arange(len(target)) - np.repeat(head, size_of)] = source
         goal = target[head]
-        both = np.concatenate([np.where(edges[goal] == n, -1, edges[goal]), wide], axis=1)
-        for low in range(0, len(goal), BATCH):
-            part = robust_prune(points, goal[low : low + BATCH], both[low : low + BATCH], degree, alpha)
-            edges[goal[low : low + BATCH]] = np.where(part < 0, n, part)
+        # Absent edges are the largest number, so sorting puts them last.
+        both = np.sort(np.concatenate([edges[goal], np.where(wide < 0, n, wide)], axis=1), axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = n
+        both = np.sort(both, axis=1)
+        fits = (both[:, ROOM:] == n).all(axis=1)
+        edges[goal[fits]] = both[fits, :ROOM]
+        full, both = goal[~fits], both[~fits]
+        for low in range(0, len(full), BATCH):
+            part = robust_prune(points, full[low : low + BATCH], np.where(both[low : low + BATCH] == n, -1, both[low : low + BATCH]), degree, alpha)
+            edges[full[low : low + BATCH]] = n
+            edges[full[low : low + BATCH], :degree] = np.where(part < 0, n, part)
     return edges, start
 
 
@@ -172,7 +182,17 @@ def _lifted(vec: np.ndarray, longest: float) -> np.ndarray:
     return (np.concatenate([vec, rest[:, None]], axis=1) / np.sqrt(longest)).astype(np.float32)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
+def beam_size(k: int, shards: int) -> int:
+    """Entries of a query's list on each of ``shards``.
+
+    Vectors are dealt by hash, so a shard holds a binomial share of the nearest ``k``; the list has four entries for
+    each of them up to three deviations above the mean, and 32 more.
+    """
+    share = k / max(shards, 1)
+    return 32 + 4 * min(k, int(np.ceil(share + 3 * np.sqrt(share))))
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest that were found for each query, nearest first.
 
     Nearness is the inner product in double precision, ties go to the smaller id, and a query's own id is no candidate.
@@ -191,12 +211,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     left = index.select("*", F.explode(upto(count(blocks))).alias("block"))
     right = asked.select("query_id", "vec", "dim", block.alias("block")).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("asked"))
     right = right.select("dim", "block", "asked", F.explode(upto(count(shards))).alias("shard"))
-    units = left.join(right, ["dim", "shard", "block"]).select("start", "longest", "vecs", "copies", "ids", "edges", "asked")
+    units = left.join(right, ["dim", "shard", "block"]).select("dim", "start", "longest", "vecs", "copies", "ids", "edges", "asked")
+
+    beam = {d: beam_size(k, n) for d, n in shards.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield _search_shard(*(c[r] for c in batch.columns), k, beam)
+                yield _search_shard(*(c[r] for c in batch.columns[1:]), k, beam[batch.column(0)[r].as_py()])
 
     found = units.mapInArrow(run, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
