@@ -1,4 +1,4 @@
-"""Variable features, scaling, principal components and an exact cosine neighbour graph."""
+"""Variable features, scaling and principal components; the neighbour graph is in ``neighbors``."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from seqlattice.contracts import require
 from seqlattice.operators.counts import CellDataset
 from seqlattice.operators.markers import log_normalize
+from seqlattice.operators.neighbors import knn_cosine
 from seqlattice.session import materialize
 
 TREND_BINS = 1000
@@ -191,157 +192,3 @@ def coordinates(data: CellDataset, pcs: DataFrame) -> DataFrame:
     width = pcs.select(F.size("pcs").alias("n")).first()["n"]
     spread = pcs.select("cell", *[F.col("pcs")[i].alias(f"PC_{i + 1}") for i in range(width)])
     return data.cells.join(spread, "cell")
-
-
-# --- neighbours ----------------------------------------------------------------------------------
-
-MAX_PIVOTS = 1024
-SLOP = 1e-7
-DIGITS = 10
-
-
-def _top(ids, sims, k):
-    """Best ``k`` by similarity, then id; ``sims`` is rounded, so equal vectors tie."""
-    if len(sims) > k:
-        floor = np.partition(sims, len(sims) - k)[len(sims) - k]
-        keep = np.flatnonzero(sims >= floor)
-    else:
-        keep = np.arange(len(sims))
-    order = np.lexsort((ids[keep], -sims[keep]))[:k]
-    return keep[order]
-
-
-def _best_rows(q_ids, queries, d_ids, data, k, step=512):
-    """Best ``k`` neighbours in ``data`` for each query, never itself; yields (position, ids, sims)."""
-    for at in range(0, len(q_ids), step):
-        block = np.round(queries[at : at + step] @ data.T, DIGITS)
-        for row in range(block.shape[0]):
-            sims = block[row]
-            other = d_ids != q_ids[at + row]
-            ids, values = d_ids[other], sims[other]
-            best = _top(ids, values, k)
-            yield at + row, ids[best], values[best]
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=float) for v in column])
-
-
-def knn_cosine(vectors: DataFrame, k: int, key: str = "cell", vector: str = "vector", block_rows: int = 4096) -> DataFrame:
-    """Exact ``k`` nearest neighbours by cosine: ``key, neighbor, similarity, rank``.
-
-    Vectors are grouped around pivots, and big groups (a hot cluster, or copies) are dealt into blocks
-    of bounded size. The neighbours inside a vector's own block bound its search: by the triangle
-    inequality on angles, only blocks that may hold something closer are visited. Tasks multiply a
-    bounded block by a bounded batch of queries and hand on ``k`` rows per query, so no task holds a
-    group and no pair list is written.
-    """
-    require(k >= 1, "k must be at least 1")
-    spark = vectors.sparkSession
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    unit = F.transform(vector, lambda v: F.try_divide(v.cast("double"), F.col("_norm")))
-    unit = F.when(F.col("_norm") > 0, unit).otherwise(F.transform(vector, lambda v: v.cast("double")))
-    base = materialize(
-        vectors.withColumn("_norm", norm).select(F.col(key).alias("id"), unit.alias("u"))
-    )
-    id_type = base.schema["id"].dataType.simpleString()
-    total = base.count()
-    if total == 0:
-        return spark.createDataFrame([], f"{key} {id_type}, neighbor {id_type}, similarity DOUBLE, rank INT")
-    count = min(MAX_PIVOTS, max(1, -(-total // block_rows)))
-    # At most MAX_PIVOTS vectors travel through the driver.
-    pivots = _matrix(base.orderBy(F.xxhash64("id"), "id").limit(count).toPandas()["u"])
-
-    @F.pandas_udf("struct<pivot:int,angle:double>")
-    def nearest(u: pd.Series) -> pd.DataFrame:
-        sims = _matrix(u) @ pivots.T
-        best = sims.argmax(axis=1)
-        cosine = np.clip(sims[np.arange(len(best)), best], -1.0, 1.0)
-        return pd.DataFrame({"pivot": best.astype("int32"), "angle": np.arccos(cosine)})
-
-    placed = base.withColumn("_p", nearest("u")).select("id", "u", "_p.pivot", "_p.angle")
-    placed = materialize(placed)
-    parts = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    # One row per pivot: no more than MAX_PIVOTS.
-    table = materialize(
-        placed.join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    )
-    blocks = table.groupBy("pivot", "part").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
-    stats = blocks.toPandas().sort_values(["pivot", "part"]).reset_index(drop=True)
-    stats["block"] = np.arange(len(stats), dtype="int32")
-    block_ids = spark.createDataFrame(stats[["pivot", "part", "block"]], "pivot INT, part INT, block INT")
-    table = table.join(F.broadcast(block_ids), ["pivot", "part"]).select("id", "u", "block")
-    found = f"id {id_type}, neighbor {id_type}, similarity DOUBLE"
-
-    def own_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, data = pdf["id"].to_numpy(), _matrix(pdf["u"])
-        out = list(_best_rows(ids, data, ids, data, k))
-        bound = [np.arccos(np.clip(s[-1], -1, 1)) if len(s) == k else np.pi for _, _, s in out]
-        return pd.DataFrame(
-            {
-                "id": ids[[p for p, _, _ in out]],
-                "u": [data[p] for p, _, _ in out],
-                "block": int(pdf["block"].iloc[0]),
-                "bound": bound,
-                "near": [list(i) for _, i, _ in out],
-                "sims": [list(s) for _, _, s in out],
-            }
-        )
-
-    first = materialize(
-        table.groupBy("block").applyInPandas(
-            own_block, f"id {id_type}, u array<double>, block int, bound double, near array<{id_type}>, sims array<double>"
-        )
-    )
-    inner = first.select("id", F.explode(F.arrays_zip("near", "sims")).alias("_z")).select(
-        "id", F.col("_z.near").alias("neighbor"), F.col("_z.sims").alias("similarity")
-    )
-
-    centers, radii = stats["pivot"].to_numpy(), stats["radius"].to_numpy()
-
-    @F.pandas_udf("array<int>")
-    def visits(u: pd.Series, own: pd.Series, bound: pd.Series) -> pd.Series:
-        rows, mine, reach = _matrix(u), own.to_numpy(), bound.to_numpy()
-        out = []
-        for at in range(0, len(rows), 256):
-            angle = np.arccos(np.clip(rows[at : at + 256] @ pivots.T, -1.0, 1.0))
-            wanted = angle[:, centers] - radii[None, :] <= reach[at : at + 256, None] + SLOP
-            wanted[np.arange(len(wanted)), mine[at : at + 256]] = False
-            out += [np.flatnonzero(w).astype("int32") for w in wanted]
-        return pd.Series(out)
-
-    if len(stats) > 1:
-        asked = materialize(first.select("id", "u", F.explode(visits("u", "block", "bound")).alias("block")))
-        loads = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
-        loads = materialize(loads)
-        queries = asked.join(F.broadcast(loads), "block").withColumn(
-            "chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
-        )
-        copies = table.join(F.broadcast(loads), "block").withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        )
-
-        def across(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or d.empty:
-                return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
-            ids = q["id"].to_numpy()
-            out = list(_best_rows(ids, _matrix(q["u"]), d["id"].to_numpy(), _matrix(d["u"]), k))
-            return pd.DataFrame(
-                {
-                    "id": np.concatenate([np.repeat(ids[p : p + 1], len(i)) for p, i, _ in out]),
-                    "neighbor": np.concatenate([i for _, i, _ in out]),
-                    "similarity": np.concatenate([s for _, _, s in out]),
-                }
-            )
-
-        outer = (
-            queries.select("block", "chunk", "id", "u")
-            .groupBy("block", "chunk")
-            .cogroup(copies.select("block", "chunk", "id", "u").groupBy("block", "chunk"))
-            .applyInPandas(across, found)
-        )
-        inner = inner.unionByName(outer)
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), F.col("neighbor"))
-    best = inner.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select(F.col("id").alias(key), "neighbor", "similarity", "rank")
-

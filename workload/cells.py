@@ -373,4 +373,4 @@ def pca(spark, folder):
 )
 def knn_cosine(spark, folder):
     vectors = W.table(spark, folder, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("vector"))
-    return E.knn_cosine(vectors, 15, block_rows=2048).withColumn("similarity", F.round("similarity", 6))
+    return E.knn_cosine(vectors, 15, block_rows=50).withColumn("similarity", F.round("similarity", 6))

@@ -28,6 +28,12 @@ def line_fields(spark, folder) -> DataFrame:
     return table(spark, folder, "lineitem").select(*[f"l_{c}" for c in columns])
 
 
+def _ordered_lines(spark, folder) -> DataFrame:
+    """Lines with their order: both tables are large, so they are shuffled on the order key and never broadcast."""
+    orders = table(spark, folder, "orders").hint("merge")
+    return line_fields(spark, folder).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 # --- reads: documents ----------------------------------------------------------------------------
 
 
@@ -48,7 +54,7 @@ def read_pairs(spark, folder) -> DataFrame:
 
 
 def junctions(spark, folder) -> DataFrame:
-    lines = line_fields(spark, folder).join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = _ordered_lines(spark, folder)
     flag, status = F.col("l_returnflag"), F.col("o_orderstatus")
     umi = F.when(F.col("l_tax") > 0, F.concat(F.lit("|UB:"), F.substring(F.md5(F.col("l_partkey").cast("string")), 1, 4)))
     return lines.select(
@@ -123,7 +129,7 @@ def _contig(position):
 
 
 def gene_junctions(spark, folder) -> DataFrame:
-    lines = line_fields(spark, folder).join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = _ordered_lines(spark, folder)
     one = (F.col("l_partkey") * 20 + F.col("l_quantity")).cast("bigint")
     two = F.col("o_custkey") * 20 + F.col("l_linenumber") * 7
     umi = F.when(F.col("l_tax") > 0, F.substring(F.md5(F.col("l_partkey").cast("string")), 1, 4)).otherwise("")
