@@ -78,17 +78,18 @@ def trend_table(moments: DataFrame, bins: int = TREND_BINS, span: float = SPAN)
     return moments.sparkSession.createDataFrame(table, "bin INT, at DOUBLE, fit DOUBLE, slope DOUBLE"), low, width
 
 
-def variable_features(data: CellDataset, n: int, cells: int | None = None) -> DataFrame:
+def variable_features(data: CellDataset, n: int, cells: int | None = None, bins: int = TREND_BINS) -> DataFrame:
     """The ``n`` genes with the largest standardised variance, ranked.
 
     Expected variance comes from the trend of log10 variance on log10 mean; values are standardised
-    with it and clipped at the square root of the number of cells.
+    with it and clipped at the square root of the number of cells. The trend is fitted to the mean points of ``bins``
+    equal steps of log10 mean, weighted by their genes, and runs straight from one to the next.
     """
     require(n >= 2, "At least two variable features are needed")
     cells = data.cells.count() if cells is None else cells
     moments = materialize(gene_moments(data.counts, data.features, cells))
-    trend, low, width = trend_table(moments)
-    index = F.least(F.floor((F.log10("mean") - low) / width), F.lit(TREND_BINS - 1)).cast("int")
+    trend, low, width = trend_table(moments, bins)
+    index = F.least(F.floor((F.log10("mean") - low) / width), F.lit(bins - 1)).cast("int")
     expected = F.col("fit") + F.col("slope") * (F.log10("mean") - F.col("at"))
     sds = (
         moments.filter("variance > 0")

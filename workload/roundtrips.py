@@ -129,7 +129,7 @@ def barcode_roundtrip(spark, folder):
     names = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("B"), "c_custkey", F.lit("\tmore")).alias("value"))
     head = spark.sql("SELECT CAST(-1 AS BIGINT) AS c_custkey, 'barcode' AS value")
     place = _put(head.unionByName(names.withColumn("c_custkey", F.col("c_custkey").cast("long"))), _folder(spark), "c_custkey")
-    return tables.read_barcodes(spark, place, regex="^B[0-9]+$")
+    return text.read_barcodes(spark, place, regex="^B[0-9]+$")
 
 
 @query(
