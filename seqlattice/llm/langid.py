@@ -28,7 +28,7 @@ SAMPLE_LANGS = 64
 SAMPLE_WINDOWS = 8
 EPOCHS = 4
 # Windows that go through the network together.
-BATCH = 1024
+BATCH = 96
 
 
 @dataclass
@@ -136,14 +136,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text, key = F.col(text_col).cast("string"), F.col(id_col)
     rows = docs.filter(key.isNotNull() & F.col(lang_col).isNotNull() & ~held_out(key) & has_letter(text))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"), text.alias("text"))
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
-    if not common:
+    counted = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    if not counted:
         return Model([], {})
+    # About four times the sample of each label goes on to be ranked, however many rows the label has.
+    below = F.lit(None).cast("long")
+    for lang, n in counted.items():
+        below = F.when(F.col("lang") == lang, F.lit(int(-(2**63) + min(1.0, 4 * texts / n) * (2**64 - 2**11)))).otherwise(below)
     at = lambda i: F.pmod(F.xxhash64("h", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int")
-    cuts = rows.filter(F.col("lang").isin(common)).withColumn("cuts", F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), at(i) + 1, F.lit(WINDOW))))
+    cuts = rows.filter(F.col("h") <= below).withColumn("cuts", F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), at(i) + 1, F.lit(WINDOW))))
     order = Window.partitionBy("lang").orderBy("h", "cuts")
     sample = cuts.select("lang", "h", "cuts").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts).orderBy("lang", "n").collect()
-    labels = sorted(common)
+    labels = sorted(counted)
     pieces = [(c, labels.index(r["lang"])) for r in sample for c in r["cuts"]]
     raw = [c.encode()[:WINDOW] for c, _ in pieces]
     data = np.frombuffer(b"".join(raw), np.uint8)
