@@ -30,6 +30,31 @@ def expect(df: DataFrame, valid: Column, message: str, sample: int = 5) -> DataF
     return df
 
 
+def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``contract, violations``: how many rows are not true under each check, all in one aggregate."""
+    counted = df.agg(*[F.count_if(~F.coalesce(valid, F.lit(False))).alias(name) for name, valid in checks.items()])
+    pairs = F.array(*[F.struct(F.lit(n).alias("contract"), F.col(f"`{n}`").alias("violations")) for n in checks])
+    return counted.select(F.explode(pairs).alias("v")).select("v.*")
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with their ``count``."""
+    return df.groupBy(*keys).count().filter("count > 1")
+
+
+def missing_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys of ``df`` that ``other`` lacks; a null is a key like any other."""
+    return df.select(*keys).distinct().exceptAll(other.select(*keys).distinct())
+
+
+def expect_all(df: DataFrame, checks: dict[str, Column], sample: int = 5) -> DataFrame:
+    """Several checks in one pass; only if one fails are offending rows looked up."""
+    broken = {r["contract"]: r["violations"] for r in violations(df, checks).filter("violations > 0").collect()}
+    for name in broken:
+        expect(df, checks[name], f"{name} ({broken[name]} rows)", sample)
+    return df
+
+
 def expect_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ContractError(message)
@@ -37,7 +62,7 @@ def expect_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def expect_unique(df: DataFrame, keys: Sequence[str], message: str, sample: int = 5) -> DataFrame:
-    repeated = df.groupBy(*keys).count().filter("count > 1").limit(sample).collect()
+    repeated = repeated_keys(df, keys).limit(sample).collect()
     if repeated:
         raise ContractError(f"{message}: {[row.asDict() for row in repeated]}")
     return df

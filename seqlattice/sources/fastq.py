@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from seqlattice.contracts import expect, expect_rows
+from seqlattice.contracts import expect, expect_all, expect_rows
 from seqlattice.sources.listing import absolute, store
 from seqlattice.sources.text import read_lines
 
@@ -156,10 +156,14 @@ def read_fastq_text(spark: SparkSession, paths: Sequence[str], check: bool = Tru
         F.count(F.lit(1)).alias("n"),
     )
     if check:
-        expect(rows.select("file", "_r", "n"), F.col("n") == 4, "A record without four lines")
-        form = F.col("h").startswith("@") & F.col("p").startswith("+")
-        expect(rows.select("file", "h", "p"), form, "Malformed FASTQ record")
-        expect(rows.select("file", "h", "s", "q"), F.length("s") == F.length("q"), "Bases and qualities differ in number")
+        expect_all(
+            rows,
+            {
+                "A record without four lines": F.col("n") == 4,
+                "Malformed FASTQ record": F.col("h").startswith("@") & F.col("p").startswith("+"),
+                "Bases and qualities differ in number": F.length("s") == F.length("q"),
+            },
+        )
     return rows.select(
         "file", (F.col("_r") + 1).alias("ordinal"), F.substring("h", 2, 1 << 30).alias("read_id"), F.col("s").alias("seq"), F.col("q").alias("qual")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("reads", "junctions", "matrices", "bulk", "cells", "roundtrips")
+AREAS = ("reads", "junctions", "matrices", "bulk", "cells", "roundtrips", "checks")
 
 
 def collect(kind: str) -> dict:
