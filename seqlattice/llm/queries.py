@@ -95,6 +95,57 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM d
     """,
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach(vec_id, c) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.c = l.x
+        ), n AS (
+            SELECT x, count(*) AS n FROM links GROUP BY x
+        )
+        SELECT vec_id, coalesce(max(n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM reach LEFT JOIN n ON n.x = vec_id GROUP BY vec_id
+    """,
+    "op3_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+        ), g AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach(doc_id, c) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.c = l.x
+        )
+        SELECT doc_id, len(any_value(s)) AS n_shingles, min(c) AS component_id FROM reach JOIN s USING (doc_id) GROUP BY doc_id
+    """,
+    "op9_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), t AS (
+            SELECT doc_id, list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' ')) AS t FROM w
+        ), u AS (
+            SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM t
+        ), again AS (
+            SELECT doc_id, i FROM u WHERE x IN (SELECT x FROM u GROUP BY x HAVING count(*) > 1)
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + o.range AS k FROM again, range(35) o
+        ), every AS (
+            SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w
+        ), left_over AS (
+            SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept FROM every ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+        ), removed AS (
+            SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN left_over USING (doc_id) LEFT JOIN removed USING (doc_id)
+    """,
     "op5_url_filter": f"""
         WITH u AS ({_PARTS}), rules(rhost, rpath, verdict) AS (VALUES {", ".join(map(str, RULES))}), m AS (
             SELECT u.page_id, u.host, u.path, r.rhost || r.rpath AS rule, r.verdict,
