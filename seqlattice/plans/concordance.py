@@ -43,6 +43,25 @@ class Settings:
         require(0 <= self.min_pct <= 1, "The detection share must be in [0, 1]")
 
 
+ORDERS = {
+    "bulk_all_tested_genes": ("FDR", "-abs(logFC)", "gene"),
+    "bulk_deg": ("FDR", "-abs(logFC)", "gene"),
+    "bulk_sample_metadata": ("sample",),
+    "single_cell_descriptive_pseudobulk": ("gene",),
+    "single_cell_group_summary": ("condition",),
+    "single_cell_markers": ("gene",),
+    "bulk_single_cell_matched_genes": ("FDR", "-abs(bulk_log2FC)", "gene"),
+    "bulk_top_genes": ("signature", "rank_within_direction"),
+    "single_cell_resistance_scores": ("cell",),
+    "resistance_score_group_summary": ("level", "condition"),
+    "concordance_metrics": ("scope",),
+    "volcano": ("FDR", "-abs(bulk_log2FC)", "gene"),
+    "dot_plot": ("signature", "rank_within_direction", "condition"),
+    "concordance_plot": ("gene",),
+    "analysis_parameters": ("parameter",),
+}
+
+
 @dataclass(frozen=True)
 class Concordance:
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -51,8 +70,10 @@ class Concordance:
         return self.tables[name]
 
     def write(self, path: str) -> None:
+        """Each table in its own order: tests and matches by FDR, then effect; the others by their names."""
         for name, table in self.tables.items():
-            write_tsv(table, f"{path}/{name}", table.columns, null="NA")
+            order = [F.expr(c) for c in ORDERS[name]]
+            write_tsv(table, f"{path}/{name}", table.columns, order=order, null="NA")
 
 
 def bulk_test(counts: DataFrame, genes: DataFrame, samples: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:

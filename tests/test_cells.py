@@ -82,11 +82,15 @@ def test_concordance_fixture(spark, inputs, as_rows, tmp_path):
     assert values["bulk_signature_source"] == "precomputed_bulk_de_table" and values["matched_gene_count"] == "8"
     result.write(str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out" / "concordance_metrics"), sep="\t", header=True).count() == 5
+    parts = sorted((tmp_path / "out" / "bulk_top_genes").glob("part-*"))
+    written = [line.split("\t") for part in parts for line in part.read_text().splitlines()]
+    names = [row[written[0].index("gene")] for row in written if row != written[0]]
+    assert names == [t[2] for t in top]
     with pytest.raises(ContractError, match="genes asked for"):
         S.select_signature(result["bulk_single_cell_matched_genes"], RS, 100)
     with pytest.warns(UserWarning):
         S.select_signature(result["bulk_single_cell_matched_genes"], RS, 100, require_full=False)
-    with pytest.raises(ContractError, match="No eligible"):
+    with pytest.raises(ContractError, match="Nothing to select"):
         S.select_signature(result["bulk_single_cell_matched_genes"].filter("bulk_log2FC > 0"), RS, 1)
     big = S.select_signature(result["bulk_single_cell_matched_genes"], RS, 2000, check=False)
     assert big.count() == 6 and big.filter("rank_within_direction = 1").count() == 2

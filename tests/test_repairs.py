@@ -111,6 +111,37 @@ def test_subset_of_each_sample(spark):
         R.bottom_k(df, "read_id", 21, 3, by=["sample"])
 
 
+def test_tracking_from_files(spark, tmp_path):
+    import gzip
+
+    from seqlattice.plans import read_tracking
+
+    def put(path, text):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with gzip.open(path, "wt") as out:
+            out.write(text)
+
+    reads = lambda n: "".join(f"@r{i}\nAC\n+\nII\n" for i in range(n))
+    for sample, n in (("b", 3), ("a", 2)):
+        put(tmp_path / "umi_extracted" / sample / f"{sample}_R1_umi_out.fastq.gz", reads(n))
+        put(tmp_path / "umi_extracted" / sample / f"{sample}_R2_umi_out.fastq.gz", reads(n))
+        put(tmp_path / "umi_trimmed" / sample / f"{sample}_R1_umi_out_val_1.fq.gz", reads(n - 1))
+        line = lambda i, xs: f"r{i}\t0\tchr1\t5\t255\t2M\t*\t0\t0\tAC\tII\tCB:Z:{sample}\tUB:Z:U{i}\tXS:Z:{xs}\tXT:Z:g\n"  # noqa: B023, E731
+        place = tmp_path / "mapped" / sample
+        put(place / f"{sample}_assigned_sorted.sam.gz", "@HD\tVN:1.6\n" + line(1, "Assigned") + line(2, "Assigned") + line(3, "Unassigned_NoFeatures"))
+        put(place / f"{sample}_counts.tsv.gz", f"gene\tcell\tcount\ng\t{sample}\t{n}\n")
+    manifest = spark.createDataFrame([("b", 1), ("a", 2)], "sample string, ordinal long")
+    result = read_tracking.run(spark, manifest, str(tmp_path))
+    result.write(str(tmp_path / "out"))
+    lines = lambda name: [line.split("\t") for p in (tmp_path / "out" / name).glob("part-*") for line in p.read_text().splitlines()]
+    legacy, corrected = lines("readtracking_production_legacy"), lines("readtracking_corrected_r1")
+    assert legacy[:5] == [["sample", "step", "value"], ["b", "raw_umi", "6"], ["b", "raw_noumi", "0"], ["b", "trimmed_umi", "2"], ["b", "trimmed_noumi", "0"]]
+    assert corrected[1] == ["b", "raw_umi", "3"] and [r[0] for r in corrected[1:]] == sorted([r[0] for r in corrected[1:]], reverse=True)
+    assert ["a", "Tagged_Reads", "2"] in corrected and ["a", "UMIs_tagged", "2"] in corrected and ["a", "UMIs_deduplicated", "2"] in corrected
+    with pytest.raises(ContractError):
+        read_tracking.run(spark, manifest.union(spark.createDataFrame([("c", 3)], manifest.schema)), str(tmp_path))
+
+
 def test_functions_find_the_package_from_any_folder(spark, tmp_path):
     import subprocess
     import sys
