@@ -32,6 +32,11 @@ SHINGLE = 5
 THRESHOLD = 80
 # N-grams of a hash range, of a tree, and sets of a tree.
 RANGE = 4_000_000
+# Counters of the suspects' n-grams by hash, kept in slices; see _ordered.
+COUNTERS = 1 << 18
+SLICES = 64
+# The bit of an n-gram that says its set has counted it.
+_MARK = U64(1 << 32)
 TREE_GRAMS = 2_000_000
 TREE_SETS = 2_048
 
@@ -77,7 +82,8 @@ def _deal(names: np.ndarray, sets: list[np.ndarray], parts: int, kind: type) ->
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    part = (flat % U64(parts)).astype(np.int64)
+    # Bit 32 is a mark and has no say in where an n-gram goes.
+    part = ((flat & ~_MARK) % U64(parts)).astype(np.int64)
     order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -104,6 +110,34 @@ def _gathered(batches: Iterator[pa.RecordBatch], kind: type) -> tuple[np.ndarray
     return keys, counts, grams
 
 
+def _often(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a range, and how many of their n-grams there occur in another set and are not counted yet.
+
+    A set may come from several pieces of the input, with other n-grams left out in each; an n-gram of one set is one, and it is
+    counted already if any of its copies is marked.
+    """
+    columns: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for k, dtype in enumerate((np.int64, np.uint32, np.uint32)):
+            columns[k] += [np.frombuffer(b, dtype) for b in batch.column(k + 1).to_pylist()]
+    keys, counts, grams = map(np.concatenate, columns)
+    distinct, owner = np.unique(keys, return_inverse=True)
+    # N-gram, set and mark in one number, so one sort brings equal ones together; the mark is the lowest bit of ``grams``.
+    value = (grams >> np.uint32(1)).astype(U64) << U64(33)
+    value |= np.repeat(owner.astype(U64), counts) << U64(1)
+    value |= (grams & np.uint32(1)).astype(U64)
+    value.sort()
+    pair = value >> U64(1)
+    last = np.append(pair[1:] != pair[:-1], True)
+    pair, marked = pair[last], (value[last] & U64(1)).astype(bool)
+    gram = pair >> U64(32)
+    head = np.append(True, gram[1:] != gram[:-1])
+    sets = np.diff(np.append(np.flatnonzero(head), len(gram)))
+    counted = (np.repeat(sets, sets) > 1) & ~marked
+    often = np.bincount((pair[counted] & U64(0xFFFFFFFF)).astype(np.int64), minlength=len(distinct))
+    return distinct[often > 0], often[often > 0].astype(np.uint32)
+
+
 def _frequency(grams: np.ndarray) -> np.ndarray:
     """How often each value occurs."""
     order = np.argsort(grams)
@@ -115,6 +149,26 @@ def _frequency(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+def _settled(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What each set has to send, and how many of its n-grams another of these sets has as well.
+
+    An n-gram of several sets stays in the first of them only, marked in bit 32, so one that very many sets share is sent
+    once for each piece of the input.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    later = np.zeros(len(flat), bool)
+    later[order[1:][same]] = True
+    shared = later.copy()
+    shared[order[:-1][same]] = True
+    sent = np.where(shared, flat | _MARK, flat & ~_MARK)[~later]
+    kept = np.bincount(owner[~later], minlength=len(sets))
+    return np.split(sent, np.cumsum(kept)[:-1]), np.bincount(owner[shared], minlength=len(sets))
+
+
 def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts: int) -> DataFrame:
     """Sets of ``sets`` (set_key, n_shingles, doc_id) of whose n-grams the threshold's share occurs in another set."""
 
@@ -123,12 +177,20 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
             for _, data, offsets in words.pieces(batch.column(0), 4 * words.PIECE):
                 found = {_name(s): s for s in _sets(data, offsets, size) if len(s)}
                 if found:
-                    yield from _deal(np.array(list(found), np.int64), list(found.values()), parts, np.uint32)
+                    names, sets, twice = np.array(list(found), np.int64), *_settled(list(found.values()))
+                    hit = np.flatnonzero(twice)
+                    for cut in range(0, len(hit), 4096):
+                        rows = hit[cut : cut + 4096]
+                        yield _block(-1 - int(names[rows[0]] % 64), names[rows], twice[rows].astype(np.uint32), np.zeros(0, np.uint32))
+                    yield from _deal(names, sets, parts, np.uint32)
 
     def shared(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, grams = _gathered(batches, np.uint32)
-        often = np.add.reduceat((_frequency(grams) > 1).astype(np.int64), np.cumsum(counts) - counts)
-        keys, often = keys[often > 0], often[often > 0].astype(np.uint32)
+        if _key[0].as_py() < 0:
+            # Counts of n-grams that were settled before, one row at a time.
+            settled = [(np.frombuffer(k, np.int64), np.frombuffer(c, np.uint32)) for b in batches for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            keys, often = (np.concatenate(c) for c in zip(*settled))
+        else:
+            keys, often = _often(batches)
         # The counts of many sets travel in one row, by a hash of their key.
         part = (words.mix(keys.view(U64)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -150,16 +212,68 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
     return sets.join(often, "set_key").filter(F.col("often") * 100 >= F.col("n_shingles") * threshold).select("set_key", "n_shingles", "doc_id")
 
 
+def _counters(sets: DataFrame) -> np.ndarray:
+    """How many n-grams of ``sets`` fall to each of COUNTERS hash values; one row for each slice reaches the driver."""
+    width = COUNTERS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            for cut in range(0, len(blobs), 1000):
+                grams = np.frombuffer(b"".join(blobs[cut : cut + 1000]), U64)
+                total += np.bincount((grams % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        rows = [s for s in range(SLICES) if total[s * width : (s + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([total[s * width : (s + 1) * width].tobytes() for s in rows], pa.binary())], ["slice", "counts"])
+
+    def add(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for batch in batches:
+            for b in batch.column(1).to_pylist():
+                total += np.frombuffer(b, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([_key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    schema = "slice long, counts binary"
+    for at, counts in sets.select("grams").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():
+        out[at * width : (at + 1) * width] = np.frombuffer(counts, np.int64)
+    return out
+
+
 def _ordered(sets: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, grams`` of ``sets``: n-grams as order keys, the class of their frequency above their hash, sorted."""
+    """``doc_id, grams`` of ``sets``: n-grams as order keys, the class of their frequency above their hash, sorted.
+
+    The class is 0 to 127 by the logarithm of the exact frequency. N-grams whose counter is above an eighth of RANGE and eight times
+    the mean may be too many for one task; their class is 128 and more by the logarithm of the counter, and they are not gathered.
+    Either way the class is a function of the n-gram, so the order is one for all sets.
+    """
+    counts = _counters(sets)
+    level = 128 + np.minimum(127, 3 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+    hot = np.where(counts > max(RANGE // 8, 8 * counts.mean()), level, 0).astype(np.uint8)
+    sent = sets.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = sent.value
         for batch in batches:
-            yield from _deal(batch.column(0).to_numpy(), [np.frombuffer(b, U64) for b in batch.column(1).to_pylist()], parts, U64)
+            if not batch.num_rows:
+                continue
+            names, sets = batch.column(0).to_numpy(), [np.frombuffer(b, U64) for b in batch.column(1).to_pylist()]
+            known = [hot[(s % U64(COUNTERS)).astype(np.int64)] for s in sets]
+            yield from _deal(names, [s[k == 0] for s, k in zip(sets, known)], parts, U64)
+            for name, s, k in zip(names.tolist(), sets, known):
+                if k.any():
+                    # These pass through with their class in place.
+                    ranked = (k[k > 0].astype(U64) << U64(56)) | (s[k > 0] >> U64(8))
+                    yield _block(-1 - name % 64, np.array([name]), np.array([len(ranked)], np.uint32), ranked)
 
     def rank(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _key[0].as_py() < 0:
+            for batch in batches:
+                keys = np.concatenate([np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(3)], ["doc_id", "grams"])
+            return
         keys, counts, grams = _gathered(batches, U64)
-        level = np.minimum(255, np.round(8 * np.log2(_frequency(grams)))).astype(U64)
+        level = np.minimum(127, np.round(8 * np.log2(_frequency(grams)))).astype(U64)
         ranked = (level << U64(56)) | (grams >> U64(8))
         stop = np.cumsum(counts)
         for cut in range(0, len(keys), 2048):
@@ -168,7 +282,7 @@ def _ordered(sets: DataFrame, parts: int) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [np.sort(np.frombuffer(b"".join(parts), U64)).tobytes() for parts in batch.column(1).to_pylist()]
+            whole = [np.unique(np.frombuffer(b"".join(parts), U64)).tobytes() for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["doc_id", "grams"])
 
     ranked = sets.select("doc_id", "grams").mapInArrow(deal, _BLOCK).groupBy("part").applyInArrow(rank, "doc_id long, grams binary")

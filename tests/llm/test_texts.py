@@ -66,6 +66,23 @@ def test_ngram_join_in_tiles(spark, monkeypatch):
     assert got == sorted(brute.ngram_join(rows, 4, 85))
 
 
+def test_ngram_join_with_common_grams(spark, monkeypatch):
+    """N-grams that most texts share are settled within pieces and ordered by their counters; pieces hold a few texts each."""
+    rng = random.Random(12)
+    line = prose(rng, 30, 50)
+    rows = []
+    for k in range(160):
+        body = line + prose(rng, rng.randrange(5, 60), 4_000)
+        if k % 3 == 1:
+            body = rows[rng.randrange(len(rows))][1].split()
+            body[-rng.randrange(1, 4)] = f"other{k % 5}"
+        rows.append((k, " ".join(body)))
+    rows += [(500 + k, rows[k * 5][1]) for k in range(20)]
+    monkeypatch.setattr(jaccard, "RANGE", 800)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, jaccard.join(docs, 4, 85).collect())) == sorted(brute.ngram_join(rows, 4, 85))
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(docs).collect() == []
