@@ -9,8 +9,8 @@
    far; it shares the work for all sets below a node and turns back where the n-grams left, on the shorter side, cannot
    bring the overlap that the sizes ask for, or where everything below is in its component already.
 
-A cell too large for one task is dealt into tiles, and each pair of tiles is a tree of its own. Only the links that
-join two components are handed on, at most one for each set of a tree.
+A cell too large for one task is dealt into tiles, and each pair of tiles is a tree of its own. A tree hands on its components, as
+one row for each set with the smallest set of its component.
 """
 
 from __future__ import annotations
@@ -408,7 +408,7 @@ class Tree:
 
 
 def _tree_links(ordered: DataFrame, cells: DataFrame, threshold: int) -> DataFrame:
-    """``src, dst``: links that join components, from the tree of each cell or pair of its tiles."""
+    """``src, dst``: each set and the smallest of its component, from the tree of each cell or pair of its tiles."""
     sized = ordered.select("doc_id", "grams", (F.octet_length("grams") / 8).cast("long").alias("n"))
     member = materialize(sized.drop("grams").join(cells.select(F.col("node").alias("doc_id"), "component"), "doc_id"))
     cell = member.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
@@ -434,7 +434,12 @@ def _tree_links(ordered: DataFrame, cells: DataFrame, threshold: int) -> DataFra
             tree, names = Tree(threshold), []
             for doc, grams in sorted(sets):
                 names.append(doc)
-                out += [(names[b], names[a]) for a, b in tree.add(np.frombuffer(grams, U64))]
+                tree.add(np.frombuffer(grams, U64))
+            low: dict[int, int] = {}
+            for k, doc in enumerate(names):
+                first = low.setdefault(tree.find(k), doc)
+                if doc != first:
+                    out.append((doc, first))
         src, dst = zip(*out) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
