@@ -39,6 +39,8 @@ SLICES = 64
 _MARK = U64(1 << 32)
 TREE_GRAMS = 2_000_000
 TREE_SETS = 2_048
+# Bits that hold whether a set has an odd number of n-grams of each hash value.
+SIGN_BITS = 2_048
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -324,6 +326,7 @@ class Tree:
         self.threshold = threshold
         self.root = Tree.Node(np.zeros(0, U64))
         self.parent: list[int] = []
+        self.signs: list[int] = []
 
     def find(self, a: int) -> int:
         while self.parent[a] != a:
@@ -335,6 +338,8 @@ class Tree:
         """Insert a set; the links found that join its component with another."""
         me = len(self.parent)
         self.parent.append(me)
+        odd = np.bincount((grams % U64(SIGN_BITS)).astype(np.int64), minlength=SIGN_BITS) & 1
+        self.signs.append(int.from_bytes(np.packbits(odd.astype(np.uint8)).tobytes(), "big"))
         links: list[tuple[int, int]] = []
         self._search(self.root, grams, me, 0, 0, 0, links)
         self._insert(grams, me)
@@ -346,6 +351,10 @@ class Tree:
         most = overlap + min(n - used, size - depth)
         return most * (100 + self.threshold) < self.threshold * (n + size)
 
+    def _unlike(self, a: int, b: int, sizes: int) -> bool:
+        """Whether two sets surely differ in too many n-grams: each odd bit that differs stands for one at least."""
+        return (self.signs[a] ^ self.signs[b]).bit_count() * (100 + self.threshold) > (100 - self.threshold) * sizes
+
     def _search(self, node: Node, grams: np.ndarray, me: int, used: int, depth: int, overlap: int, links: list) -> None:
         n, stack = len(grams), [(node, used, depth, overlap)]
         while stack:
@@ -354,6 +363,8 @@ class Tree:
                 continue
             if node is not self.root and self._hopeless(node, n, used, depth, overlap):
                 continue
+            if node.sets and not node.children and self._unlike(me, node.sets[0], n + node.high):
+                continue
             if len(node.grams):
                 rest = grams[used:]
                 at = np.searchsorted(rest, node.grams)
