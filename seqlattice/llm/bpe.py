@@ -9,7 +9,7 @@ import numpy as np
 from seqlattice.llm.words import U64, ragged
 
 # Entries of a worker's table; at about forty bytes each. A full table is emptied, which costs time only.
-MAX_UNITS = 1_500_000
+MAX_UNITS = 1_000_000
 
 _WORD_TAIL = np.zeros(256, bool)
 _WORD_TAIL[[0x2C, 0x2E]] = True

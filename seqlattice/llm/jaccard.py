@@ -31,7 +31,7 @@ SHINGLE = 5
 # Link where intersection * 100 >= THRESHOLD * union.
 THRESHOLD = 80
 # N-grams of a hash range, of a tree, and sets of a tree.
-RANGE = 4_000_000
+RANGE = 2_000_000
 # Counters of the suspects' n-grams by hash, kept in slices; see _ordered.
 COUNTERS = 1 << 18
 SLICES = 64
@@ -176,7 +176,7 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in words.pieces(batch.column(0), 4 * words.PIECE):
+            for _, data, offsets in words.pieces(batch.column(0), 2 * words.PIECE):
                 found = {_name(s): s for s in _sets(data, offsets, size) if len(s)}
                 if found:
                     names, sets, twice = np.array(list(found), np.int64), *_settled(list(found.values()))

@@ -35,7 +35,7 @@ PREFIX = 8
 SLOTS = 1 << 14
 GROUP = 1 << 20
 # Bytes of text that one map step settles together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 _PLACE = U64((1 << 24) - 1)
 
