@@ -159,3 +159,19 @@ def test_functions_find_the_package_from_any_folder(spark, tmp_path):
 
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=240, capture_output=True)
+
+
+def test_fastq_roundtrip_writes_whole_texts(spark, tmp_path, monkeypatch):
+    from workload import roundtrips
+
+    rows = [(1, "short one", "aa"), (2, "ab\ncd" * 300, "aa"), (3, "x" * 150_000 + "é\r\n🙂", "bb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    places = []
+    monkeypatch.setattr(roundtrips, "_folder", lambda spark: places.append(str(tmp_path / f"files{len(places)}")) or places[-1])
+    first = sorted(map(tuple, roundtrips.fastq_roundtrip(spark, str(tmp_path)).collect()))
+    lengths = sorted(r[0] for r in spark.read.text(f"{places[0]}/*/*").filter("value NOT LIKE '+%' AND value NOT LIKE '@%'").select(F.length("value")).collect())
+    assert lengths == sorted(2 * [len(t) for _, t, _ in rows])
+    # The SQL of this one counts the first 400 bases.
+    assert first == [("aa", 2, 409, 2), ("bb", 1, 400, 1)]
+    whole = sorted(map(tuple, roundtrips.fastq_whole_roundtrip(spark, str(tmp_path)).collect()))
+    assert whole == [("aa", 2, 1509, 301, 1500, 2), ("bb", 1, 150_004, 4, 150_004, 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlattice.operators.counts import CellDataset
@@ -154,15 +154,35 @@ def gtf_roundtrip(spark, folder):
     """,
 )
 def fastq_roundtrip(spark, folder):
-    """Reads of the languages written in folders, read back by splits."""
+    """Reads of the languages written in folders, read back by splits; whole texts are written and read, the first 400 bases of each are counted."""
+    return _counted(_text_reads(spark, folder), F.least(F.length("seq"), F.lit(400)))
+
+
+@query(
+    "fastq_whole_roundtrip",
+    """
+    SELECT lang, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum(length(seq) - length(replace(seq, 'N', ''))) AS BIGINT) AS unknown,
+      CAST(max(length(seq)) AS BIGINT) AS longest, count(DISTINCT doc_id) AS names
+    FROM (SELECT doc_id, lang, regexp_replace(text, '[^A-Za-z]', 'N', 'g') AS seq FROM documents) GROUP BY 1
+    """,
+)
+def fastq_whole_roundtrip(spark, folder):
+    """The reads of ``fastq_roundtrip`` with all of their bases counted."""
+    unknown = F.sum(F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit(""))))
+    return _counted(_text_reads(spark, folder), F.length("seq"), unknown.alias("unknown"), F.max(F.length("seq")).cast("long").alias("longest"))
+
+
+def _text_reads(spark, folder) -> DataFrame:
+    """Whole texts as reads, line ends as N like all that is no letter, through FASTQ files in a folder for each language."""
     from seqlattice.sources.fastq import read_fastq_text
 
-    seq = F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z]", "N")
+    seq = F.regexp_replace("text", "[^A-Za-z]", "N")
     docs = table(spark, folder, "documents").select("lang", F.col("doc_id").alias("ordinal"), F.concat(F.lit("doc"), "doc_id").alias("name"), seq.alias("seq"), seq.alias("qual"))
     place = _folder(spark)
     writers.write_fastq(docs, place, by=["lang"], order=["ordinal"])
-    reads = read_fastq_text(spark, f"{place}/*/*")
+    return read_fastq_text(spark, f"{place}/*/*")
+
+
+def _counted(reads: DataFrame, bases: Column, *more: Column) -> DataFrame:
     lang = F.regexp_extract("file", "lang=([^/]+)", 1)
-    return reads.groupBy(lang.alias("lang")).agg(
-        F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.count_distinct("read_id").alias("names")
-    )
+    return reads.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("reads"), F.sum(bases).alias("bases"), *more, F.count_distinct("read_id").alias("names"))
