@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product on robust-pruned directed graphs, one for each shard.
 
-Vectors are dealt to shards by hash. Appending ``sqrt(longest**2 - length**2)`` makes all of a table's vectors equally
-long, so the largest inner product with a query is the smallest distance. A shard's graph starts from random edges; in
+Vectors are dealt to bands by length and in a band to shards by hash, so that a few long vectors do not decide how the others
+are told apart, nor get lost among them. Appending ``sqrt(longest**2 - length**2)`` makes all of a band's vectors equally long, so the largest inner product with a query is the smallest distance. All are then moved by ``longest`` along that component,
+which keeps distances and puts vectors much shorter than the longest near zero, where their differences are exact. A shard's graph starts from random edges; in
 batches, each vector searches the graph greedily, and of the vectors met on the way it keeps a diverse few: the nearest is
 taken, and those that are nearer to it than to the vector by the factor ``ALPHA`` leave. Queries run a beam search on
 every shard; what it finds is scored again on the original vectors in double precision.
@@ -30,24 +31,26 @@ WIDTH = 4
 # Vectors inserted, and queries searched, together.
 BATCH = 256
 QUERIES = 1024
+# Lengths of a band differ by this factor at most, from the longest of all down.
+BAND = 16
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``size`` nearest points met from ``start`` on for each query, nearest first, and their squared distances.
 
     Each round follows the edges of the WIDTH nearest entries not followed yet, until all of the list are followed. Absent
-    entries are -1 at infinite distance.
+    entries are -1 at infinite distance. The squared length of the query is added at the end only: beside it the distances to
+    short points may differ by less than rounding.
     """
     q, n = len(queries), len(points)
     norm = (points * points).sum(axis=1)
-    own = (queries * queries).sum(axis=1)
     size = min(size, n)
     ids = np.full((q, size), -1)
-    dist = np.full((q, size), np.inf, np.float32)
+    dist = np.full((q, size), np.inf)
     done = np.zeros((q, size), bool)
     met = np.zeros((q, n + 1), bool)
     ids[:, 0] = start
-    dist[:, 0] = norm[start] + own - 2 * (queries @ points[start])
+    dist[:, 0] = norm[start] - 2 * (queries @ points[start])
     met[:, [start, n]] = True
     live = np.arange(q)
     while len(live):
@@ -65,16 +68,16 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
         order = np.sort(nearby, axis=1)
         order[:, 1:][order[:, 1:] == order[:, :-1]] = n
         at, col = np.nonzero(order < n)
-        far = np.full(order.shape, np.inf, np.float32)
+        far = np.full(order.shape, np.inf)
         new = order[at, col]
-        far[at, col] = norm[new] + own[live[at]] - 2 * np.einsum("ij,ij->i", queries[live[at]], points[new])
+        far[at, col] = norm[new] - 2 * np.einsum("ij,ij->i", queries[live[at]], points[new])
         all_dist = np.concatenate([dist[live], far], axis=1)
         best = np.argsort(all_dist, axis=1, kind="stable")[:, :size]
         dist[live] = np.take_along_axis(all_dist, best, 1)
         ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(np.isfinite(far), order, -1)], axis=1), best, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], np.zeros(far.shape, bool)], axis=1), best, 1)
         live = live[((ids[live] >= 0) & ~done[live]).any(axis=1)]
-    return ids, dist
+    return ids, dist + (queries * queries).sum(axis=1)[:, None]
 
 
 def robust_prune(points: np.ndarray, rows: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -149,41 +152,47 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA,
 
 
 def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, shard: int = SHARD) -> DataFrame:
-    """One row per shard: its distinct vectors, for each the ``k + 1`` smallest ids, and the graph. Written as a table.
+    """One row per shard (numbered through the bands of a vector length): its distinct vectors, for each the ``k + 1`` smallest ids, and the graph. Written as a table.
 
     Every row that takes part is indexed; of more than ``k + 1`` rows with one vector only those with the smallest ids can
     be among anyone's nearest ``k``.
     """
     rows = keyed(df, id_col, vec_col).filter("key IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "vec", "key", F.size("vec").alias("dim"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    distinct = materialize(first.groupBy("key").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    # One row per vector length.
-    sizes = {d: (n, longest) for d, n, longest in distinct.groupBy("dim").agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).collect()}
-    shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // shard))) for d, (n, _) in sizes.items()], F.lit(1))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), shards).cast("int"))
+    square = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    distinct = first.groupBy("key").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    distinct = materialize(distinct.withColumn("square", square))
+    tops = distinct.groupBy("dim").agg(F.max("square").alias("top"))
+    band = F.coalesce(F.floor((F.log("top") - F.log("square")) / (2 * np.log(BAND))), F.lit(1 << 31)).cast("long")
+    distinct = distinct.join(F.broadcast(tops), "dim").withColumn("band", band)
+    # One row per vector length and band.
+    bands = distinct.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("of"), F.greatest(F.max("square"), F.lit(1e-300)).alias("longest"))
+    bands = bands.withColumn("low", F.sum("of").over(Window.partitionBy("dim").orderBy("band")) - F.col("of"))
+    dealt = distinct.join(F.broadcast(bands), ["dim", "band"]).withColumn("shard", (F.col("low") + F.pmod(F.xxhash64("key", F.lit(1)), F.col("of"))).cast("int"))
 
     def build(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("key").combine_chunks()
-        dim = table.column("dim")[0].as_py()
         vec = matrix(table.column("vec").combine_chunks())
         ids = table.column("ids").combine_chunks()
-        edges, start = build_graph(_lifted(vec, sizes[dim][1]))
+        edges, start = build_graph(_lifted(vec, table.column("longest")[0].as_py()))
         blobs = [vec.tobytes(), np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes(), ids.flatten().to_numpy().astype(np.int64).tobytes(), edges.astype(np.int32).tobytes()]
-        columns = [pa.array([table.column("shard")[0].as_py()], pa.int32()), pa.array([dim], pa.int32()), pa.array([start], pa.int32()), pa.array([float(sizes[dim][1])]), *(pa.array([b], pa.binary()) for b in blobs)]
-        yield pa.RecordBatch.from_arrays(columns, ["shard", "dim", "start", "longest", "vecs", "copies", "ids", "edges"])
+        columns = [*(table.column(c).slice(0, 1).combine_chunks() for c in ("shard", "dim", "of")), pa.array([start], pa.int32()), table.column("longest").slice(0, 1).combine_chunks(), *(pa.array([b], pa.binary()) for b in blobs)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "dim", "of", "start", "longest", "vecs", "copies", "ids", "edges"])
 
-    schema = "shard int, dim int, start int, longest double, vecs binary, copies binary, ids binary, edges binary"
-    return materialize(dealt.select("shard", "dim", "key", "vec", "ids").groupBy("shard", "dim").applyInArrow(build, schema))
+    schema = "shard int, dim int, of int, start int, longest double, vecs binary, copies binary, ids binary, edges binary"
+    return materialize(dealt.select("shard", "dim", "of", "longest", "key", "vec", "ids").groupBy("shard", "dim").applyInArrow(build, schema))
 
 
 def _lifted(vec: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors with one component more, equally long; in single precision, scaled to length one."""
-    rest = np.sqrt(np.maximum(longest - (vec * vec).sum(axis=1), 0))
-    return (np.concatenate([vec, rest[:, None]], axis=1) / np.sqrt(longest)).astype(np.float32)
+    """Vectors scaled by the longest, with one component more: what brings them to length one, less one."""
+    unit = vec / np.sqrt(longest)
+    square = np.minimum((unit * unit).sum(axis=1), 1)
+    # 1 - sqrt(1 - square) without cancellation, and with the sign that moves the pole to zero.
+    return np.concatenate([unit, -(square / (1 + np.sqrt(1 - square)))[:, None]], axis=1)
 
 
 def beam_size(k: int, shards: int) -> int:
-    """Entries of a query's list on each of ``shards``.
+    """Entries of a query's list on each of the ``shards`` of a band.
 
     Vectors are dealt by hash, so a shard holds a binomial share of the nearest ``k``; the list has four entries for
     each of them up to three deviations above the mean, and 32 more.
@@ -204,21 +213,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     asked = keyed(queries, id_col, vec_col).filter("key IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("query_id"), "key", "vec", F.size("vec").alias("dim"))
     asked = materialize(asked)
     blocks = {d: -(-n // QUERIES) for d, n in asked.groupBy("dim").count().collect()}
-    shards = {d: n for d, n in index.groupBy("dim").count().collect()}
+    shards = {d: n + 1 for d, n in index.groupBy("dim").agg(F.max("shard")).collect()}
     count = lambda of: F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in of.items()], F.lit(0))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     block = F.pmod(F.xxhash64("query_id", "key"), F.greatest(count(blocks), F.lit(1))).cast("int")
     left = index.select("*", F.explode(upto(count(blocks))).alias("block"))
     right = asked.select("query_id", "vec", "dim", block.alias("block")).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("asked"))
     right = right.select("dim", "block", "asked", F.explode(upto(count(shards))).alias("shard"))
-    units = left.join(right, ["dim", "shard", "block"]).select("dim", "start", "longest", "vecs", "copies", "ids", "edges", "asked")
-
-    beam = {d: beam_size(k, n) for d, n in shards.items()}
+    units = left.join(right, ["dim", "shard", "block"]).select("of", "start", "longest", "vecs", "copies", "ids", "edges", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                yield _search_shard(*(c[r] for c in batch.columns[1:]), k, beam[batch.column(0)[r].as_py()])
+                yield _search_shard(*(c[r] for c in batch.columns[1:]), k, beam_size(k, batch.column(0)[r].as_py()))
 
     found = units.mapInArrow(run, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -238,7 +245,7 @@ def _search_shard(start, longest, vecs, copies, ids, edges, asked, k: int, beam:
     name = queries.field("query_id").to_numpy()
     query = matrix(queries.field("vec"))
     length = np.sqrt((query * query).sum(axis=1, keepdims=True))
-    lifted = np.concatenate([query / length, np.zeros((len(query), 1))], axis=1).astype(np.float32)
+    lifted = np.concatenate([query / length, np.full((len(query), 1), -1.0)], axis=1)
     points = _lifted(vec, longest.as_py())
     if n <= beam:
         # The list holds the whole shard.

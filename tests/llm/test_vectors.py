@@ -126,6 +126,26 @@ def test_recall_on_graphs(spark, scaled):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("factor", [1e4, 1e6])
+def test_recall_beside_long_vectors(spark, factor):
+    """A few rows far longer than the rest are found, and leave the rest to be told apart."""
+    x = vectors(2400, 24, seed=5)
+    x[:6] *= np.float32(factor)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = graphsearch.search(graphsearch.build_index(df, shard=800), df.filter("vec_id % 20 = 7"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y, ids, hit, long_hit, long_all = x.astype(np.float64), np.arange(len(x)), 0, 0, 0
+    for q, rows in got.items():
+        want = {v for v, _ in nearest(y, ids, q, 20)}
+        hit += len(want & rows)
+        long_all += sum(v < 6 for v in want)
+        long_hit += sum(v < 6 for v in want & rows)
+    assert len(got) == 120 and long_all > 120
+    assert hit / (20 * len(got)) >= 0.9 and long_hit >= 0.9 * long_all
+
+
 def test_nearest_of_odd_tables(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (None, [1.0, 0.0]), (40, None), (1, [3.0, 1.0])], "vec_id long, embedding array<double>")
     index = graphsearch.build_index(df)
