@@ -18,8 +18,14 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; null texts and texts without a letter go."""
-    named = langid.predict(docs, langid.train(docs), lang_col="__lang", score_col="__score")
+    """Documents with a label from the network, which are those with a letter; null texts and texts without a letter go.
+
+    Without a label to learn from, the same texts stay.
+    """
+    model = langid.train(docs)
+    if not model.labels:
+        return docs.filter(langid.has_letter(F.col("text").cast("string")))
+    named = langid.predict(docs, model, lang_col="__lang", score_col="__score")
     return named.filter(F.col("__lang") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -7,9 +7,11 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_texts import LANGS  # noqa: E402
 from test_tokens import plain_ids  # noqa: E402
 
+from seqlattice.llm import langid  # noqa: E402
 from seqlattice.llm.queries import tokenizer  # noqa: E402
 
 
@@ -74,3 +76,17 @@ def test_nothing_in_nothing_out(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").collect() == []
+
+
+def test_texts_stay_without_labels(spark, tmp_path):
+    """Null labels, no text to learn from: letterless texts go, the others reach the end."""
+    data = [(k, " ".join(f"w{k}x{j}" for j in range(20)), None) for k in range(8)] + [(20, None, None), (21, "12 34", None), (None, "bato", None)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "aa"))
+    for some in (docs, held):
+        out = corpus_pipeline.language_id(spark, some, "")
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([*range(8), None], key=str)
+    ended = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert ended == {*range(8), None}
