@@ -22,9 +22,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 UNKNOWN = "und"
-# The training sample: texts of each language, languages (by number of texts), and windows of each text.
+# The training sample: texts of each language, texts of all (one of each language at least), and windows of each text.
 SAMPLE_TEXTS = 400
-SAMPLE_LANGS = 64
+SAMPLE_TOTAL = 25_600
 SAMPLE_WINDOWS = 8
 EPOCHS = 4
 # Windows that go through the network together.
@@ -126,29 +126,31 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, langs: int = SAMPLE_LANGS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, total: int = SAMPLE_TOTAL) -> Model:
     """A model fitted to a bounded sample of labelled texts.
 
     Of rows with an id that is not held out, a text with a letter and a label, the ``texts`` smallest by a hash of
-    the id are taken for each of the ``langs`` most frequent labels, and SAMPLE_WINDOWS windows at hashed places of each. The
-    driver gets at most ``texts * langs * SAMPLE_WINDOWS`` windows. Without any such row there are no labels.
+    the id are taken for each label, fewer where ``total`` texts are not enough for that, and SAMPLE_WINDOWS windows at hashed
+    places of each. Every label is learned. The driver gets at most SAMPLE_WINDOWS windows of ``total`` texts, or of one text for
+    each label where there are more labels than that. Without any such row there are no labels.
     """
     text, key = F.col(text_col).cast("string"), F.col(id_col)
     rows = docs.filter(key.isNotNull() & F.col(lang_col).isNotNull() & ~held_out(key) & has_letter(text))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"), text.alias("text"))
-    counted = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    counted = rows.groupBy("lang").count().collect()
     if not counted:
         return Model([], {})
+    texts = max(1, min(texts, total // len(counted)))
     # About four times the sample of each label goes on to be ranked, however many rows the label has.
-    below = F.lit(None).cast("long")
-    for lang, n in counted.items():
-        below = F.when(F.col("lang") == lang, F.lit(int(-(2**63) + min(1.0, 4 * texts / n) * (2**64 - 2**11)))).otherwise(below)
+    below = [(lang, int(-(2**63) + min(1.0, 4 * texts / n) * (2**64 - 2**11))) for lang, n in counted]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang")
     at = lambda i: F.pmod(F.xxhash64("h", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))).cast("int")
-    cuts = rows.filter(F.col("h") <= below).withColumn("cuts", F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), at(i) + 1, F.lit(WINDOW))))
+    cuts = rows.filter(F.col("h") <= F.col("below")).withColumn("cuts", F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), at(i) + 1, F.lit(WINDOW))))
     order = Window.partitionBy("lang").orderBy("h", "cuts")
     sample = cuts.select("lang", "h", "cuts").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts).orderBy("lang", "n").collect()
-    labels = sorted(counted)
-    pieces = [(c, labels.index(r["lang"])) for r in sample for c in r["cuts"]]
+    labels = sorted(lang for lang, _ in counted)
+    number = {lang: k for k, lang in enumerate(labels)}
+    pieces = [(c, number[r["lang"]]) for r in sample for c in r["cuts"]]
     raw = [c.encode()[:WINDOW] for c, _ in pieces]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])])

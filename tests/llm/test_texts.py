@@ -186,6 +186,17 @@ def test_language_id_without_labels(spark):
     assert langid.predict(none, langid.train(none)).collect() == []
 
 
+def test_language_id_of_many_labels(spark, monkeypatch):
+    """No label is left out; with many of them each gives fewer texts."""
+    rows = [(k, f"word{k % 70} text", f"l{k % 70:02d}") for k in range(1400)] + [(9_000 + k, "more text", "l00") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda windows, target, labels: seen.append(np.bincount(target, minlength=len(labels))) or langid.Model(labels, {}))
+    want = [f"l{k:02d}" for k in range(70)]
+    assert langid.train(docs).labels == want and langid.train(docs, total=140).labels == want
+    assert (seen[0] > 0).all() and (seen[1] == 2 * langid.SAMPLE_WINDOWS).all()
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     windows = rng.integers(0, 256, (6, 20)).astype(np.uint8)
