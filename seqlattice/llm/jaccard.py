@@ -243,7 +243,7 @@ def _counters(sets: DataFrame) -> np.ndarray:
 
 
 def _ordered(sets: DataFrame, parts: int) -> DataFrame:
-    """``doc_id, grams`` of ``sets``: n-grams as order keys, the class of their frequency above their hash, sorted.
+    """``set_key, grams`` of ``sets``: n-grams as order keys, the class of their frequency above their hash, sorted.
 
     The class is 0 to 127 by the logarithm of the exact frequency. N-grams whose counter is above an eighth of RANGE and eight times
     the mean may be too many for one task; their class is 128 and more by the logarithm of the counter, and they are not gathered.
@@ -272,7 +272,7 @@ def _ordered(sets: DataFrame, parts: int) -> DataFrame:
         if _key[0].as_py() < 0:
             for batch in batches:
                 keys = np.concatenate([np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(3)], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(3)], ["set_key", "grams"])
             return
         keys, counts, grams = _gathered(batches, U64)
         level = np.minimum(127, np.round(8 * np.log2(_frequency(grams)))).astype(U64)
@@ -280,15 +280,15 @@ def _ordered(sets: DataFrame, parts: int) -> DataFrame:
         stop = np.cumsum(counts)
         for cut in range(0, len(keys), 2048):
             rows = range(cut, min(cut + 2048, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut : rows.stop]), pa.array([ranked[stop[r] - counts[r] : stop[r]].tobytes() for r in rows], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut : rows.stop]), pa.array([ranked[stop[r] - counts[r] : stop[r]].tobytes() for r in rows], pa.binary())], ["set_key", "grams"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = [np.unique(np.frombuffer(b"".join(parts), U64)).tobytes() for parts in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["set_key", "grams"])
 
-    ranked = sets.select("doc_id", "grams").mapInArrow(deal, _BLOCK).groupBy("part").applyInArrow(rank, "doc_id long, grams binary")
-    return ranked.groupBy("doc_id").agg(F.collect_list("grams").alias("grams")).mapInArrow(join, "doc_id long, grams binary")
+    ranked = sets.select("set_key", "grams").mapInArrow(deal, _BLOCK).groupBy("part").applyInArrow(rank, "set_key long, grams binary")
+    return ranked.groupBy("set_key").agg(F.collect_list("grams").alias("grams")).mapInArrow(join, "set_key long, grams binary")
 
 
 def _ties(ordered: DataFrame, threshold: int) -> DataFrame:
@@ -302,11 +302,11 @@ def _ties(ordered: DataFrame, threshold: int) -> DataFrame:
                 lead.append(np.frombuffer(b, np.int64)[: n + (-n * threshold) // 100 + 1])
             size = [len(a) for a in lead]
             doc = np.repeat(batch.column(0).to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(lead))], ["doc_id", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(lead))], ["set_key", "gram"])
 
-    entries = ordered.mapInArrow(prefix, "doc_id long, gram long")
-    low = entries.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("gram", "low")
-    return entries.join(low, "gram").filter("doc_id > low").select(F.col("doc_id").alias("src"), F.col("low").alias("dst")).distinct()
+    entries = ordered.mapInArrow(prefix, "set_key long, gram long")
+    low = entries.groupBy("gram").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").select("gram", "low")
+    return entries.join(low, "gram").filter("set_key > low").select(F.col("set_key").alias("src"), F.col("low").alias("dst")).distinct()
 
 
 class Tree:
@@ -420,20 +420,20 @@ class Tree:
 
 def _tree_links(ordered: DataFrame, cells: DataFrame, threshold: int) -> DataFrame:
     """``src, dst``: each set and the smallest of its component, from the tree of each cell or pair of its tiles."""
-    sized = ordered.select("doc_id", "grams", (F.octet_length("grams") / 8).cast("long").alias("n"))
-    member = materialize(sized.drop("grams").join(cells.select(F.col("node").alias("doc_id"), "component"), "doc_id"))
+    sized = ordered.select("set_key", "grams", (F.octet_length("grams") / 8).cast("long").alias("n"))
+    member = materialize(sized.drop("grams").join(cells.select(F.col("node").alias("set_key"), "component"), "set_key"))
     cell = member.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
     tiles = F.greatest(F.ceil(F.col("sets") / TREE_SETS), F.ceil(F.col("total") / TREE_GRAMS)).cast("long")
     cell = cell.select("component", tiles.alias("tiles"), "total")
     buckets = -(-(cell.filter("tiles = 1").agg(F.sum("total")).first()[0] or 0) // TREE_GRAMS) or 1
-    placed = member.join(cell.select("component", "tiles"), "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    placed = member.join(cell.select("component", "tiles"), "component").withColumn("tile", F.pmod(F.xxhash64("set_key"), F.col("tiles")))
     # One unit per pair of tiles; cells of one tile share units, with a tree each.
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("r"), F.greatest("tile", o).alias("s")))
     small = F.col("tiles") == 1
     units = placed.select(
-        "doc_id", "component", F.when(small, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("unit"), small.alias("small"), F.explode(pair).alias("pair")
-    ).select("doc_id", "component", "unit", "small", "pair.r", "pair.s")
-    filled = units.join(ordered, "doc_id").select("unit", "small", "r", "s", "component", "doc_id", "grams")
+        "set_key", "component", F.when(small, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")).alias("unit"), small.alias("small"), F.explode(pair).alias("pair")
+    ).select("set_key", "component", "unit", "small", "pair.r", "pair.s")
+    filled = units.join(ordered, "set_key").select("unit", "small", "r", "s", "component", "set_key", "grams")
 
     def run(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
@@ -481,16 +481,17 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_co
                 keys = batch.column(1).slice(row, len(offsets) - 1).to_pylist()
                 found = [(k, s) for k, s in enumerate(_sets(data, offsets, size)) if _name(s) == keys[k]]
                 rows = pa.array([row + k for k, _ in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([s.tobytes() for _, s in found], pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([s.tobytes() for _, s in found], pa.binary())], ["set_key", "grams"])
 
     chosen = suspects.select("doc_id", "set_key").join(texts, "doc_id").select("doc_id", "set_key", "text")
-    left = materialize(chosen.mapInArrow(grams, "doc_id long, grams binary"))
+    left = materialize(chosen.mapInArrow(grams, "set_key long, grams binary"))
     kept = suspects.agg(F.sum("n_shingles")).first()[0] or 0
     ordered = materialize(_ordered(left, max(1, -(-kept // RANGE))))
     cells = connected_components(_ties(ordered, threshold))
     links = connected_components(_tree_links(ordered, materialize(cells), threshold))
-    component = sets.join(links.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    # Sets that stand alone with their row need no entry.
-    component = component.select("set_key", F.coalesce("component", "doc_id").alias("component"))
+    # Sets are linked by their keys, as one id may have several; a component is named by the smallest id of its sets.
+    linked = sets.join(links.select(F.col("node").alias("set_key"), "component"), "set_key", "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("root"))
+    lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component"))
+    component = linked.join(lowest, "root").select("set_key", "component")
     joined = named.join(component, "set_key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

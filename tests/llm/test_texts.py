@@ -83,6 +83,16 @@ def test_ngram_join_with_common_grams(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(docs, 4, 85).collect())) == sorted(brute.ngram_join(rows, 4, 85))
 
 
+def test_ngram_join_of_one_id_with_several_texts(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(12):
+        a, b = prose(rng, 60, 50_000), prose(rng, 50, 50_000)
+        rows += [(k, " ".join(a)), (k, " ".join(b)), (100 + k, " ".join(a[:-1] + ["end"])), (200 + k, " ".join(b[:-1] + ["end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(docs, 4, 85).collect())) == sorted(brute.ngram_join(rows, 4, 85))
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(docs).collect() == []
