@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import chunks, graphsearch, jaccard, langid, nearpairs, packing, sharding, substrings, urlfilter, warc
+from seqlattice.llm import chunks, graphsearch, jaccard, langid, mixing, nearpairs, packing, sharding, substrings, urlfilter, warc
+from seqlattice.operators.ordering import row_numbers
+from seqlattice.session import materialize
 
 # The rules of the url query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -75,7 +77,16 @@ def op10_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return graphsearch.search(graphsearch.build_index(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
 
 
-QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors)}
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    names = sized.select("source", F.col("source").isNull().alias("missing")).distinct()
+    turn = F.col("number") % 3
+    weights = row_numbers(names, [], ["missing", "source"], "number").select("source", F.when(turn == 1, 5).when(turn == 2, 2).otherwise(1).alias("weight"))
+    return mixing.mix(sized, weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors, op13_source_mix)}
 
 _PARTS = """
     SELECT page_id, url, translate(regexp_extract(after, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -154,4 +165,31 @@ ORACLES = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op13_source_mix": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), s AS (
+            SELECT source, sum(size) AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
+        ), fill AS (
+            SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words,
+                   sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight
+            FROM s WINDOW o AS (ORDER BY source_size * 10 / w, source NULLS LAST)
+        ), clamp AS (
+            SELECT *, 3 * source_size * weight <= w * words AS capped FROM fill
+        ), open AS (
+            SELECT sum(source_size) - coalesce(sum(3 * source_size) FILTER (WHERE capped), 0) AS words, coalesce(sum(w) FILTER (WHERE NOT capped), 1) AS weight FROM clamp
+        ), t AS (
+            SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (w * words)::DOUBLE / weight::DOUBLE END AS target,
+                   CASE WHEN capped THEN 3 * source_size ELSE w * words // weight END AS goal
+            FROM (SELECT c.source, c.source_size, c.w, c.capped, o.words, o.weight FROM clamp c, open o)
+        ), part AS (
+            SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN goal // t.source_size ELSE 0 END AS whole,
+                   CASE WHEN t.source_size > 0 THEN goal % t.source_size ELSE 0 END AS part,
+                   sum(size) OVER (PARTITION BY d.source, h) AS same, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+               (whole * size + CASE WHEN upto <= part THEN size WHEN upto - same < part THEN size * (part - upto + same) // same ELSE 0 END)::BIGINT AS taken
+        FROM part
+    """,
 }
