@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import chunks, graphsearch, jaccard, langid, mixing, nearpairs, packing, sharding, substrings, urlfilter, warc
+from seqlattice.llm import chunks, graphsearch, jaccard, langid, mixing, nearpairs, packing, phrases, sharding, substrings, urlfilter, warc
 from seqlattice.operators.ordering import row_numbers
 from seqlattice.session import materialize
 
@@ -77,6 +77,10 @@ def op10_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return graphsearch.search(graphsearch.build_index(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -86,7 +90,7 @@ def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized, weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors, op13_source_mix)}
+QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors, op11_collocations, op13_source_mix)}
 
 _PARTS = """
     SELECT page_id, url, translate(regexp_extract(after, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -165,6 +169,37 @@ ORACLES = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op11_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
+        ), f AS (
+            SELECT lang, m, phrase, count(*) AS f
+            FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS v(m))
+            GROUP BY lang, m, phrase
+        ), n AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+        ), c AS (
+            SELECT *, string_split(phrase, ' ') AS g FROM f WHERE m > 1 AND f >= 10
+        ), over AS (
+            SELECT lang, part, max(f) AS over
+            FROM (SELECT lang, f, unnest([g[1] || ' ' || g[2], g[2] || ' ' || g[3]]) AS part FROM c WHERE m = 3) GROUP BY lang, part
+        ), cuts AS (
+            SELECT lang, phrase, f, 1 AS k, g[1] AS x, array_to_string(g[2:m], ' ') AS y FROM c UNION ALL SELECT lang, phrase, f, 2, g[1] || ' ' || g[2], g[3] FROM c WHERE m = 3
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f) AS score
+            FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+            FROM best b LEFT JOIN over o ON o.lang = b.lang AND o.part = b.phrase WHERE o.over IS NULL OR 100 * o.over < 50 * b.a
+        )
+        SELECT t.lang, rank, phrase, a, l, t.r, n, score::BIGINT AS score FROM ranked t JOIN n ON n.lang = t.lang WHERE rank <= 2000
+    """,
     "op13_source_mix": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents

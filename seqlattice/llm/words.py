@@ -81,14 +81,14 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((sums[end] - sums[start]) * _DOWN.upto(len(sums))[start])
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts that ``offsets`` cuts out of ``data``."""
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts that ``offsets`` cuts out of ``data``; ``between`` marks other bytes that end words."""
     if lower:
         data = _LOWER[data]
     none = np.zeros(0, np.int64)
     if not len(data):
         return Words(data, none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = between[data]
     opens = np.empty(len(data), bool)
     opens[0] = True
     opens[1:] = space[:-1]
