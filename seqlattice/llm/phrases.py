@@ -6,7 +6,7 @@ counters up, and a merged stripe holds all that is needed of its prefix: the ext
 count (the sum of all) and the largest count of an extension, which decides whether the prefix is subsumed.
 
 * A phrase can only be frequent if both its parts of one word less are. A Bloom filter of the frequent shorter phrases tells
-  tasks which prefixes and which extensions to pass by. It has no false negatives, so counts stay exact; beyond ``BITS``
+  tasks which prefixes and which extensions to pass by. It has no false negatives, so counts stay exact; beyond its largest size
   it only passes more.
 * The stripe of a prefix that holds more than one in ``HOT`` of all words is cut into parts by its next words.
 * Stripes travel sorted, so a task merges neighbours and holds one merged stripe.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm import words
+from seqlattice.llm import bloom, words
 from seqlattice.llm.hot import HOT, lookup
 from seqlattice.llm.names import col
 from seqlattice.llm.words import U64
@@ -32,10 +32,6 @@ from seqlattice.session import materialize
 
 # Words whose stripes a task gathers before it sends them on.
 FLUSH = 1 << 21
-# Largest Bloom filter in bits (32 MB), its bits for a phrase, and how many of them go in one row.
-BITS = 1 << 28
-PROBES = 4
-CHUNK = 1 << 16
 # Candidates that one task ranks.
 RANKED = 1 << 20
 
@@ -116,19 +112,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word", "hash").agg(F.sum("n").alias("f"))
 
 
-def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    step = (h >> U64(32)) | U64(1)
-    for k in range(PROBES):
-        yield (h + U64(k) * step) & U64(bits - 1)
-
-
-def _contains(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for place in _places(h, len(bloom) * 8):
-        out &= (bloom[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
 def _phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
     """Hashes of phrases, all of one length."""
     known = lang.dictionary_encode()
@@ -142,35 +125,15 @@ def _phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
 
 
 def bloom_filter(phrases: DataFrame, count: int) -> np.ndarray:
-    """A filter of the ``lang, words`` of ``phrases``, in bytes; at most ``BITS`` bits, which tasks set and merge in chunks."""
-    bits = min(max(1 << (16 * count).bit_length(), CHUNK), BITS)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.unique(np.concatenate(list(_places(_phrase_hashes(batch.column(0), batch.column(1)), bits))))
-            cuts = np.flatnonzero(np.diff(found // U64(CHUNK))) + 1
-            for part in np.split(found, cuts) if len(found) else []:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[0]) // CHUNK]), pa.array([(part % U64(CHUNK)).astype(np.uint16).tobytes()], pa.binary())], ["chunk", "places"])
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(CHUNK, np.uint8)
-        for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                marked[np.frombuffer(raw, np.uint16)] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    found = phrases.select("lang", "words").mapInArrow(places, "chunk long, places binary").groupBy("chunk").applyInArrow(merge, "chunk long, bits binary")
-    for chunk, raw in found.collect():
-        out[chunk * CHUNK // 8 : (chunk + 1) * CHUNK // 8] = np.frombuffer(raw, np.uint8)
-    return out
+    """A filter of the ``lang, words`` of ``phrases``."""
+    return bloom.build(phrases.select("lang", "words"), count, lambda batch: _phrase_hashes(batch.column(0), batch.column(1)))
 
 
 _STRIPE = "lang string, prefix binary, part int, rest long, nexts binary, counts binary"
 _MERGED = "lang string, prefix array<long>, total long, top long, nexts array<long>, counts array<long>"
 
 
-def gather(h: np.ndarray, joint: np.ndarray, code: np.ndarray, langs: list[str], size: int, bloom: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+def gather(h: np.ndarray, joint: np.ndarray, code: np.ndarray, langs: list[str], size: int, likely: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """The stripes of one block for phrases of ``size`` words.
 
     ``rest`` counts how often a prefix stands before no word that could make a frequent phrase. ``part`` is -1, or the number of the
@@ -185,7 +148,7 @@ def gather(h: np.ndarray, joint: np.ndarray, code: np.ndarray, langs: list[str],
         if k:
             inside[: n - k] &= joint[k - 1 : n - 1]
             inside[n - k :] = False
-    good = inside & _contains(bloom, key)
+    good = inside & bloom.contains(likely, key)
     follows = good.copy()
     follows[: n - 1] &= good[1:]
     follows[n - 1 :] = False
@@ -321,7 +284,7 @@ def stripes(docs: DataFrame, size: int, shorter: DataFrame, every: int, least: i
     more than one in HOT of them has its stripe in parts, one row each.
     """
     context = docs.sparkSession.sparkContext
-    bloom = context.broadcast(bloom_filter(shorter, shorter.count()))
+    likely = context.broadcast(bloom_filter(shorter, shorter.count()))
     hot = shorter.filter(F.col("f") * HOT > every).select("lang", "words", "f").collect()
     keys = [_phrase_hashes(pa.array([r["lang"]]), pa.array([r["words"]], pa.list_(pa.int64())))[0] for r in hot]
     order = sorted(range(len(hot)), key=keys.__getitem__)
@@ -329,7 +292,7 @@ def stripes(docs: DataFrame, size: int, shorter: DataFrame, every: int, least: i
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            found = gather(*block, size, bloom.value, heavy.value)
+            found = gather(*block, size, likely.value, heavy.value)
             for low in range(0, found.num_rows, 1 << 15):
                 yield found.slice(low, 1 << 15)
 

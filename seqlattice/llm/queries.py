@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import chunks, graphsearch, jaccard, langid, mixing, nearpairs, packing, phrases, sharding, substrings, urlfilter, warc
+from seqlattice.llm import chunks, graphsearch, jaccard, langid, mixing, nearpairs, packing, phrases, sharding, substrings, turns, urlfilter, warc
 from seqlattice.operators.ordering import row_numbers
 from seqlattice.session import materialize
 
@@ -81,6 +83,15 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(_table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    fixed = turns.repair(turns.damaged(rows))
+    every = rows.groupBy(turns.spaced("conv_id").alias("conv")).agg(F.first("conv_id", ignorenulls=True).alias("conv_id"))
+    found = every.join(fixed.counts, "conv", "left").join(fixed.audits, "conv", "left").join(turns.text_hashes(fixed.turns), "conv", "left")
+    zeros = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
 def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     sized = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -90,7 +101,7 @@ def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized, weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors, op11_collocations, op13_source_mix)}
+QUERIES = {q.__name__: q for q in (op1_warc, op2_embedding_dedup, op3_ngram_join, op4_language_id, op5_url_filter, op6_sharding, op7_bpe, op8_packing, op9_substring_dedup, op10_nearest_vectors, op11_collocations, op12_conversation_repair, op13_source_mix)}
 
 _PARTS = """
     SELECT page_id, url, translate(regexp_extract(after, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -98,6 +109,30 @@ _PARTS = """
     FROM (SELECT page_id, url, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS after FROM pages)
 """
 
+
+
+def _repair_ways() -> list[str]:
+    """SQL for the best ``(cost, audit, text)`` of each state after one more row; states are 1 start, 2 s, 3 u, 4 a."""
+    turn = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}
+    ways: dict[int, list[str]] = {1: [], 2: [], 3: [], 4: []}
+
+    def way(state: int, cost: str, letters: str, text: str, when: str = "true") -> str:
+        return f"{{'c': CASE WHEN {when} THEN st[{state}].c + {cost} ELSE 1000000000 END, 'a': st[{state}].a || '{letters}', 'r': st[{state}].r || {text}}}"
+
+    for state in turn:
+        at, lead, text = state, "", "''"
+        for _ in range(3):
+            paid = 2 * len(lead)
+            ways[at].append(way(state, f"{paid + 3}", lead + "D", text))
+            to, role = turn[at]
+            ways[to].append(way(state, f"{paid + 2} + d.cut", lead + "R", f"{text} || chr(10) || '{role}:' || d.text", "NOT d.forced"))
+            for initial, before, after in (("s", (1,), 2), ("u", (1, 2, 4), 3), ("a", (3,), 4)):
+                if at in before:
+                    ways[after].append(way(state, f"{paid} + d.cut", lead + "K", f"{text} || chr(10) || d.role || ':' || d.text", f"NOT d.forced AND d.role[1] = '{initial}'"))
+            at, lead, text = to, lead + "I", f"{text} || chr(10) || '{role}:'"
+    return [f"list_sort([{', '.join(w)}])[1]" for w in ways.values()]
+
+
 ORACLES = {
     "op1_warc": """
         WITH p AS (
@@ -200,6 +235,44 @@ ORACLES = {
         )
         SELECT t.lang, rank, phrase, a, l, t.r, n, score::BIGINT AS score FROM ranked t JOIN n ON n.lang = t.lang WHERE rank <= 2000
     """,
+    "op12_conversation_repair": f"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+            FROM conversations
+        ), crc AS (
+            SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+                list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 20 AS kind
+            FROM k
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM crc WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged
+        ), d AS (
+            SELECT conv_id, pos, turn, role, text, blank, again AND NOT blank AS again, (NOT ended AND NOT blank AND NOT again)::INT AS cut, blank OR again AS forced,
+                   lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair
+            FROM (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS ended,
+                         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed)
+        ), path(conv_id, pos, st) AS (
+            SELECT conv_id, 0::BIGINT, [{{'c': 0, 'a': '', 'r': ''}}, {", ".join(["{'c': 1000000000, 'a': '', 'r': ''}"] * 3)}] FROM conversations GROUP BY conv_id
+            UNION ALL
+            SELECT p.conv_id, d.pos, [{", ".join(_repair_ways())}] FROM path p JOIN d ON d.conv_id IS NOT DISTINCT FROM p.conv_id AND d.pos = p.pos + 1
+        ), best AS (
+            SELECT conv_id, list_sort([st[1], st[4], {{'c': st[3].c + 2, 'a': st[3].a || 'I', 'r': st[3].r || chr(10) || 'assistant:'}},
+                                       {{'c': st[2].c + 4, 'a': st[2].a || 'II', 'r': st[2].r || chr(10) || 'user:' || chr(10) || 'assistant:'}}])[1] AS w
+            FROM path QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
+        ), n AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(again::INT) AS duplicate, sum(cut) AS truncated,
+                   count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM d GROUP BY conv_id
+        )
+        SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, w.c::BIGINT AS cost, w.a AS audit, sha256(w.r[2:]) AS repaired_sha256
+        FROM best b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id
+    """,
     "op13_source_mix": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
