@@ -82,8 +82,8 @@ def write_wide_counts(counts: DataFrame, path: str, samples: Sequence[str], mode
     write_tsv(table, path, ["gene_id", *samples], order=["gene_id"], mode=mode, compression="gzip")
 
 
-def write_fastq(df: DataFrame, path: str, by: Sequence[str] = (), order: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """FASTQ parts of ``name, seq, qual`` rows, gzip, one folder per value of ``by``.
+def write_fastq(df: DataFrame, path: str, by: Sequence[str] = (), order: Sequence[str] = (), mode: str = "errorifexists", compression: str = "gzip") -> None:
+    """FASTQ parts of ``name, seq, qual`` rows, gzip unless told otherwise, one folder per value of ``by``.
 
     With ``order`` the parts of a folder, put together in name order, keep the reads in that order.
     """
@@ -91,7 +91,7 @@ def write_fastq(df: DataFrame, path: str, by: Sequence[str] = (), order: Sequenc
     keys = [*by, *order]
     if keys:
         record = record.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    writer = record.select(*by, "value").write.mode(mode).option("compression", "gzip")
+    writer = record.select(*by, "value").write.mode(mode).option("compression", compression)
     (writer.partitionBy(*by) if by else writer).text(path)
 
 

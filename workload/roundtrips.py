@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlattice.functions.reads import fastq_record
 from seqlattice.operators.counts import CellDataset
 from seqlattice.session import checkpoint_folder
 from seqlattice.sources import tables, text, writers
@@ -150,12 +151,12 @@ def gtf_roundtrip(spark, folder):
     "fastq_roundtrip",
     """
     SELECT lang, count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, count(DISTINCT doc_id) AS names
-    FROM (SELECT doc_id, lang, regexp_replace(substr(text, 1, 400), '[^A-Za-z]', 'N', 'g') AS seq FROM documents) GROUP BY 1
+    FROM (SELECT doc_id, lang, regexp_replace(text, '[^A-Za-z]', 'N', 'g') AS seq FROM documents) GROUP BY 1
     """,
 )
 def fastq_roundtrip(spark, folder):
-    """Reads of the languages written in folders, read back by splits; whole texts are written and read, the first 400 bases of each are counted."""
-    return _counted(_text_reads(spark, folder), F.least(F.length("seq"), F.lit(400)))
+    """Reads of the languages written in folders of compressed files and read back."""
+    return _counted(_text_reads(spark, folder), F.length("seq"))
 
 
 @query(
@@ -167,11 +168,42 @@ def fastq_roundtrip(spark, folder):
     """,
 )
 def fastq_whole_roundtrip(spark, folder):
-    """The reads of ``fastq_roundtrip`` with all of their bases counted."""
+    """The reads of ``fastq_roundtrip`` with unknown bases and the longest read."""
     unknown = F.sum(F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit(""))))
     return _counted(_text_reads(spark, folder), F.length("seq"), unknown.alias("unknown"), F.max(F.length("seq")).cast("long").alias("longest"))
 
 
+@query(
+    "fastq_pairs_roundtrip",
+    """
+    SELECT lang, 'doc' || doc_id AS read_id, length(seq) AS bases, length(seq) - length(replace(seq, 'N', '')) AS unknown,
+      translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode
+    FROM (SELECT *, regexp_replace(text, '[^A-Za-z]', 'N', 'g') AS seq FROM documents)
+    """,
+)
+def fastq_pairs_roundtrip(spark, folder):
+    """Whole texts as first mates and barcodes of them as second ones, in plain files of the same reads; pairs are read by ranges of bytes."""
+    from seqlattice.sources.fastq import read_fastq_pairs
+
+    place = _folder(spark)
+    seq = F.regexp_replace("text", "[^A-Za-z]", "N")
+    code = F.translate(F.md5(F.col("text").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    mates = F.array(F.struct(F.lit("R1").alias("mate"), seq.alias("seq")), F.struct(F.lit("R2").alias("mate"), code.alias("seq")))
+    docs = table(spark, folder, "documents").select("lang", "doc_id", F.explode(mates).alias("m"))
+    name = F.concat(F.lit("doc"), "doc_id", F.lit("/"), F.substring("m.mate", 2, 1))
+    lines = docs.select("lang", "doc_id", F.col("m.mate").alias("mate"), fastq_record(name, "m.seq", "m.seq").alias("value"))
+    # A task writes both mates of its reads, so the files of one task belong together.
+    dealt = lines.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "mate", "doc_id")
+    dealt.select("lang", "mate", "value").write.partitionBy("lang", "mate").text(place)
+    files = spark.read.format("binaryFile").load(f"{place}/*/*/*").select("path")
+    sample = F.concat_ws(":", F.regexp_extract("path", "lang=([^/]+)", 1), F.regexp_extract("path", "part-([0-9]+)", 1))
+    mate = lambda n: F.max(F.when(F.col("path").contains(f"mate=R{n}"), F.col("path"))).alias(f"r{n}")
+    manifest = files.groupBy(sample.alias("sample")).agg(mate(1), mate(2))
+    pairs = read_fastq_pairs(spark, manifest, split=8 << 20)
+    unknown = F.length("seq1") - F.length(F.replace("seq1", F.lit("N"), F.lit("")))
+    return pairs.select(F.split("sample", ":")[0].alias("lang"), "read_id", F.length("seq1").alias("bases"), unknown.alias("unknown"), F.col("seq2").alias("barcode"))
+
+
 def _text_reads(spark, folder) -> DataFrame:
     """Whole texts as reads, line ends as N like all that is no letter, through FASTQ files in a folder for each language."""
     from seqlattice.sources.fastq import read_fastq_text
