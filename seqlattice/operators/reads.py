@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.contracts import expect, expect_rows, require
+from seqlattice.contracts import expect, expect_rows, read_rule, require
 from seqlattice.functions import reads as R
 from seqlattice.schemas import RETAINED_TAGS
 
@@ -113,12 +113,7 @@ def primary_transcripts(sam: DataFrame, length: int = 96, check: bool = True) ->
     require(length >= 1, "The read length must be positive")
     kept = sam.filter(R.is_primary("flag"))
     if check:
-        usable = (
-            (F.col("seq") != "*")
-            & (F.col("qual") != "*")
-            & (F.length("seq") == F.length("qual"))
-            & (F.length("seq") >= length)
-        )
+        usable = read_rule(length=length)
         expect(kept.select("qname", "seq", "qual"), usable, f"Reads need sequence and quality of at least {length}")
     reverse = R.is_reversed("flag")
     sequence = F.when(reverse, R.reverse_complement("seq")).otherwise(F.col("seq"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlattice.contracts import expect, expect_rows
+from seqlattice.contracts import expect, expect_rows, lines_rule
 from seqlattice.session import materialize
 from seqlattice.sources.listing import absolute, store
 
@@ -285,5 +285,5 @@ def count_fastq_records(spark: SparkSession, paths: Sequence[str], check: bool =
     counted = spark.read.text(list(paths)).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
     if check:
         expect_rows(counted, "No FASTQ lines")
-        expect(counted, F.col("lines") % 4 == 0, "The number of lines is no multiple of four")
+        expect(counted, lines_rule(), "The number of lines is no multiple of four")
     return counted.select("file", F.floor(F.col("lines") / 4).alias("records"))

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from seqlattice.contracts import (
+    COUNT_MESSAGE,
+    de_rule,
     expect,
     expect_conditions,
-    expect_counts,
-    expect_ids,
     expect_positive_totals,
-    expect_rows,
     expect_unique,
+    filled,
+    id_rule,
     require,
     require_columns,
+    stored,
+    whole_count,
 )
 from seqlattice.operators.ordering import row_numbers
 from seqlattice.schemas import SAFE_ID, Contrast, DeColumns, GeneColumns
@@ -63,12 +66,12 @@ def read_manifest(
     table = read_table(spark, path, exact=required if exact else None, subset=required, ordinal=True)
     trimmed = table.select("ordinal", *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in table.columns if c != "ordinal"])
     samples = trimmed.filter(F.concat(*required) != "")
-    expect_rows(samples, "No samples in the manifest")
-    expect_ids(samples, "sample", SAFE_ID)
+    checks = {"Unsafe value in sample": id_rule("sample", SAFE_ID)}
+    if {"r1", "r2"} <= set(required):
+        checks["Both mate files must be given and differ"] = filled("r1") & filled("r2") & (F.col("r1") != F.col("r2"))
+    samples = stored(samples, checks, least="No samples in the manifest")
     expect_unique(samples, ["sample"], "Duplicate sample")
     if {"r1", "r2"} <= set(required):
-        both = (F.coalesce("r1", F.lit("")) != "") & (F.coalesce("r2", F.lit("")) != "") & (F.col("r1") != F.col("r2"))
-        expect(samples, both, "Both mate files must be given and differ")
         base = os.path.dirname(absolute(path))
         for mate in ("r1", "r2"):
             found = F.col(mate)
@@ -96,10 +99,10 @@ def read_umi_counts(
     rows = table.select(
         sample_of(F.col("_metadata.file_path"), suffix).alias("sample"), "gene", F.trim("cell").alias("cell"), "count"
     )
+    checks = {COUNT_MESSAGE: whole_count("count")}
     if check_cell:
-        expect(rows.select("sample", "cell"), F.col("cell") == F.col("sample"), "Unexpected cell id")
-        expect(rows.select("sample", "gene"), F.trim("gene") != "", "Missing gene identifier")
-    expect_counts(rows)
+        checks |= {"Unexpected cell id": F.col("cell") == F.col("sample"), "Missing gene identifier": filled("gene")}
+    rows = stored(rows, checks)
     return rows.select("gene", F.col("cell"), F.expr("CAST(try_cast(count AS DOUBLE) AS BIGINT)").alias("count"))
 
 
@@ -132,7 +135,7 @@ def read_bulk_matrix(
     genes = table.select(
         "ordinal", *[F.col(c).alias(n) for c, n in zip(gene, ("gene_id", "gene_name", "gene_biotype"), strict=True)], *wanted
     )
-    expect(genes.select("gene_id"), F.coalesce("gene_id", F.lit("")) != "", "Bulk rows without a gene id")
+    genes = stored(genes, {"Bulk rows without a gene id": F.coalesce("gene_id", F.lit("")) != ""})
     named = make_unique(genes, "gene_id", "ordinal", "gene")
     long = named.select(
         "gene",
@@ -140,7 +143,7 @@ def read_bulk_matrix(
             F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{c}`").alias("count")) for s, c in zip(samples, wanted, strict=True)])
         ).alias("_c"),
     ).select("gene", "_c.*")
-    expect_counts(long, tolerance=1e-8)
+    long = stored(long, {COUNT_MESSAGE: whole_count("count", 1e-8)})
     counts = long.withColumn("count", F.expr("CAST(round(CAST(count AS DOUBLE)) AS BIGINT)"))
     expect_positive_totals(counts, "sample", "count", "A bulk sample has zero total counts")
     return counts, named.select("gene", "ordinal", "gene_id", "gene_name", "gene_biotype")
@@ -175,10 +178,7 @@ def read_de_table(
         number(columns.p_value).alias("PValue"),
         number(columns.fdr).alias("FDR"),
     )
-    finite = ~F.isnan("logFC") & (F.abs("logFC") < float("inf"))
-    fine = (F.coalesce("gene_id", F.lit("")) != "") & (F.coalesce("gene_name", F.lit("")) != "") & finite
-    fine = fine & F.col("PValue").between(0, 1) & F.col("FDR").between(0, 1)
-    return expect(rows, fine, "Invalid identifiers, fold changes or probabilities")
+    return stored(rows, {"Invalid identifiers, fold changes or probabilities": de_rule()})
 
 
 def read_read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -198,14 +198,13 @@ def read_candidates(spark: SparkSession, path: str, a: str = "BCR", b: str = "AB
         value = F.expr(f"try_cast(trim(`{column}`) AS INT)")
     else:
         value = F.col(f"{column}_call").startswith("candidate_").cast("int")
-    rows = table.select("sample", value.alias("candidate"))
-    expect_unique(rows, ["sample"], "Duplicate candidate sample")
-    return expect(rows, F.col("candidate").isin(0, 1), "A candidate flag is neither 0 nor 1")
+    rows = stored(table.select("sample", value.alias("candidate")), {"A candidate flag is neither 0 nor 1": F.col("candidate").isin(0, 1)})
+    return expect_unique(rows, ["sample"], "Duplicate candidate sample")
 
 
 def read_cell_metadata(spark: SparkSession, path: str) -> DataFrame:
     table = read_table(spark, path, subset=("sample",))
-    expect(table.select("sample"), F.coalesce("sample", F.lit("")) != "", "Empty sample id")
+    table = stored(table, {"Empty sample id": F.coalesce("sample", F.lit("")) != ""})
     return expect_unique(table, ["sample"], "Duplicate sample id")
 
 
@@ -259,7 +258,7 @@ def read_mtx(
             seen = table.agg(F.count_distinct("ordinal").alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).first()
             require(size == 0 or (seen["n"], seen["low"], seen["high"]) == (size, 1, size), f"The {name} numbers are not 1 to {size}")
         require(triples.count() == entries, "Entry count does not match the size line")
-        expect_counts(triples, "x", tolerance=1e-8)
+        triples = stored(triples, {COUNT_MESSAGE: whole_count("x", 1e-8)})
     typed = triples.withColumn("x", F.round("x").cast("bigint"))
     if modality is not None:
         genes = genes.filter(F.col("gene_type") == modality)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlattice.contracts import expect, expect_rows, expect_unique, require
+from seqlattice.contracts import expect, expect_unique, id_rule, require, stored
 from seqlattice.session import materialize
 
 JUNCTION_FIELDS = 14
@@ -186,14 +186,13 @@ def gene_annotation(gtf: DataFrame) -> DataFrame:
 def gene_intervals(gtf: DataFrame, check: bool = True) -> DataFrame:
     """Gene features as closed intervals."""
     if check:
-        expect(gtf.select("ordinal", "width"), F.col("width") == 9, "Malformed GTF record")
+        gtf = stored(gtf, {"Malformed GTF record": F.col("width") == 9})
     genes = gtf.filter(F.col("feature") == "gene").select(
         "chrom", "start", "end", F.coalesce("gene_id", F.lit("")).alias("gene_id"), F.coalesce("gene_name", "gene_id").alias("gene_name"), "strand"
     )
     if check:
-        expect_rows(genes, "The GTF has no gene features")
         fine = (F.col("gene_id") != "") & (F.col("gene_name") != "") & (F.col("start") >= 1) & (F.col("end") >= F.col("start"))
-        expect(genes, fine, "Invalid gene feature")
+        genes = stored(genes, {"Invalid gene feature": fine}, least="The GTF has no gene features")
     return genes
 
 
@@ -211,10 +210,9 @@ def read_barcodes(spark: SparkSession, path: str, regex: str | None = None, expe
     value = F.split(F.trim("value"), "\t")[0].alias("barcode")
     found = spark.read.text(path).select(value)
     found = found.filter((F.col("barcode") != "") & ~F.lower("barcode").isin("barcode", "cell_barcode"))
-    expect_rows(found, "The barcode list is empty")
+    checks = {"Unexpected barcode form": id_rule("barcode", regex)} if regex else {}
+    found = stored(found, checks, least="The barcode list is empty")
     expect_unique(found, ["barcode"], "Duplicate barcode")
-    if regex:
-        expect(found, F.col("barcode").rlike(regex), "Unexpected barcode form")
     if expect_count is not None:
         seen = found.count()
         require(seen == expect_count, f"Expected {expect_count} barcodes, found {seen}")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.contracts import expect_rows, require
+from seqlattice.contracts import require, stored
 from seqlattice.functions.reads import fastq_record
 from seqlattice.operators.counts import CellDataset, gene_totals, wide_counts
 from seqlattice.operators.ordering import row_numbers
@@ -111,8 +111,7 @@ def write_split_fastq(split: DataFrame, path: str, mode: str = "errorifexists")
 def write_primary(reads: DataFrame, fastq_path: str, metadata_path: str, mode: str = "errorifexists") -> None:
     """Primary reads as FASTQ and their metadata table, from the same rows."""
     require(fastq_path != metadata_path, "The outputs must differ")
-    table = materialize(reads)
-    expect_rows(table, "There are no reads to write")
+    table = stored(reads, {"Bases and qualities differ in number": F.length("seq") == F.length("qual")}, least="There are no reads to write")
     order = ["ordinal"] if "ordinal" in table.columns else []
     write_fastq(table.withColumnRenamed("star_read_name", "name"), fastq_path, order=order, mode=mode)
     write_tsv(table, metadata_path, ["star_read_name", "original_qname", "CB", "UB", "CR", "UR"], mode=mode)
