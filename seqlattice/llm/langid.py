@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from seqlattice.llm import words
+from seqlattice.llm.names import col, columns, free, map_arrow
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -134,7 +136,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     places of each. Every label is learned. The driver gets at most SAMPLE_WINDOWS windows of ``total`` texts, or of one text for
     each label where there are more labels than that. Without any such row there are no labels.
     """
-    text, key = F.col(text_col).cast("string"), F.col(id_col)
+    text, key = col(text_col).cast("string"), col(id_col)
     rows = docs.filter(key.isNotNull() & F.col(lang_col).isNotNull() & ~held_out(key) & has_letter(text))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"), text.alias("text"))
     counted = rows.groupBy("lang").count().collect()
@@ -165,10 +167,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     The prediction reads the whole text and nothing else. A text that is null or has no letter, and any text for a model
     without labels, is ``und`` with score 0. Every row is predicted for itself, whatever its other columns hold.
     """
-    names = [c for c in docs.columns if c not in (lang_col, score_col)]
-    known = docs.select(*[F.col(f"`{c}`") for c in names], F.when(has_letter(F.col(f"`{text_col}`").cast("string")), F.col(f"`{text_col}`").cast("string")).alias("__text"))
+    (plain,) = free(docs, "plain_text")
+    text = col(text_col).cast("string")
+    known = docs.select(*columns(docs, (lang_col, score_col)), F.when(has_letter(text), text).alias(plain))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields[:-1])
+    schema = StructType(known.schema.fields[:-1]).add(lang_col, StringType()).add(score_col, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -182,9 +185,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     real = model.labels and text[row + k].is_valid
                     label.append(model.labels[b] if real else UNKNOWN)
                     score.append(float(prob[k, b]) if real else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64())], [*names, lang_col, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    return known.mapInArrow(run, f"{fields}, `{lang_col}` string, `{score_col}` double")
+    return map_arrow(known, run, schema)
 
 
 def _text_probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def col(name: str) -> Column:
@@ -27,3 +31,15 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for any names, of which that method takes only plain ones; ``run`` goes by the order of columns."""
+    given, plain = schema.names, [f"c{k}" for k in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(plain)
+
+    fields = [StructField(n, f.dataType, f.nullable) for n, f in zip(plain, schema.fields)]
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(renamed, StructType(fields)).toDF(*given)

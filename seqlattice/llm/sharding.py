@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlattice.llm.names import col, columns, free
+
 # A prime; the largest table that is broadcast has MAX_SLOTS rows.
 SLOTS = 65_537
 MAX_SLOTS = 1_000_003
@@ -54,11 +56,11 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, sl
     spark = df.sparkSession
     names = list(shards)
     owners = F.split(F.lit(",".join(map(str, fill(names, slots)))), ",")
-    table = spark.range(1).select(F.posexplode(owners).alias("__slot", "__owner"))
-    shard = F.element_at(F.array(*map(F.lit, names)), F.col("__owner").cast("int") + 1)
-    table = table.select(F.col("__slot").cast("long").alias("__slot"), shard.alias("__shard"))
-    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    slot, owner_slot, owner = free(df, "key_slot", "table_slot", "table_shard")
+    table = spark.range(1).select(F.posexplode(owners).alias("slot", "owner"))
+    shard = F.element_at(F.array(*map(F.lit, names)), F.col("owner").cast("int") + 1)
+    table = table.select(F.col("slot").cast("long").alias(owner_slot), shard.alias(owner))
+    text = F.coalesce(col(key).cast("string"), F.lit(""))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    kept = [c for c in df.columns if c not in (slot_col, shard_col)]
-    out = df.withColumn("__slot", F.pmod(number, F.lit(slots))).join(F.broadcast(table), "__slot")
-    return out.select(*kept, F.col("__slot").alias(slot_col), F.col("__shard").alias(shard_col))
+    out = df.select("*", F.pmod(number, F.lit(slots)).alias(slot)).join(F.broadcast(table), F.col(slot) == F.col(owner_slot))
+    return out.select(*columns(df, (slot_col, shard_col)), F.col(slot).alias(slot_col), F.col(owner).alias(shard_col))

@@ -1,8 +1,9 @@
-"""Removal of repeated word runs through prefix-partitioned, truncated suffix trees.
+"""Removal of repeated word runs by windows of fixed length, dealt to groups by a prefix in them.
 
-A suffix is the word sequence from one place on; two suffixes that agree in their first ``size`` words meet in a
-node of depth ``size`` of the suffix tree, and a window is repeated exactly if its node there has two leaves or more.
-The tree is never built whole. Suffixes are dealt to groups by a prefix and each group's subtree is built in memory:
+A suffix is the word sequence from one place on; two suffixes that agree in their first ``size`` words would meet in a
+node of depth ``size`` of a suffix tree, and a window is repeated exactly if its node there had two leaves or more. No tree is
+built: of each subtree only that one level is found, by comparing windows, and no maximal repeats come out. Suffixes are dealt to
+groups by a prefix and each group is compared in memory:
 
 * Neighbouring suffixes travel together. Each window names the ``PREFIX`` consecutive words in it whose hash is
   smallest (the leftmost of equal ones); equal windows name the same words. The suffix at that place and the windows
@@ -24,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from seqlattice.llm import words
+from seqlattice.llm.names import col, columns, free, map_arrow
 from seqlattice.llm.words import U64
 from seqlattice.session import materialize
 
@@ -37,7 +40,9 @@ GROUP = 1 << 20
 # Bytes of text that one map step settles together.
 PIECE = 2 << 20
 
-_PLACE = U64((1 << 24) - 1)
+# Words that are searched for smallest prefixes at a time, and the bits of a place in them.
+STRETCH = 1 << 24
+_PLACE = U64(STRETCH - 1)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -57,14 +62,19 @@ def _windows(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> t
     down = words._DOWN.upto(n + 1)
     heads = np.arange(n - prefix + 1)
     head = words.mix((sums[heads + prefix] - sums[heads]) * down[heads])
-    # Ordered by hash, then by place: the smallest of a stretch is found by doubling.
-    low = (words.mix(head) & ~_PLACE) | heads.astype(U64)
-    span, reach = size - prefix + 1, 1
-    while reach * 2 <= span:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    low = np.minimum(low[at], low[at + span - reach])
-    anchor = (low & _PLACE).astype(np.int64)
+    anchor = np.empty(len(at), np.int64)
+    span = size - prefix + 1
+    for begin in range(0, len(heads), STRETCH - span):
+        # Ordered by hash, then by place in the stretch: the smallest of ``span`` neighbours is found by doubling.
+        part = head[begin : begin + STRETCH]
+        low, reach = (words.mix(part) & ~_PLACE) | np.arange(len(part), dtype=U64), 1
+        while reach * 2 <= span <= len(part):
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        a, b = np.searchsorted(at, [begin, begin + STRETCH - span])
+        here = at[a:b] - begin
+        if len(here):
+            anchor[a:b] = (np.minimum(low[here], low[here + span - reach]) & _PLACE).astype(np.int64) + begin
     whole = words.mix((sums[at + size] - sums[at]) * down[at] + U64(size))
     return text, local, anchor, head[anchor], whole
 
@@ -191,11 +201,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, gr
 
 
 def deep_leaves(head: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which suffixes of a group hang below a node of full depth that has another leaf.
-
-    The subtree below each prefix (``head``) has one node of full depth for each different edge; leaves of one
-    node lie together once sorted by prefix and edge.
-    """
+    """Which windows of a group are there more than once; equal ones lie together once sorted by prefix and hash."""
     node = words.mix(head * U64(0x9E3779B97F4A7C15) + ((low.astype(U64) << U64(16)) | high.astype(U64)))
     order = np.argsort(node)
     same = node[order[1:]] == node[order[:-1]]
@@ -221,15 +227,16 @@ def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int
     A row is known by the 64-bit hash of its columns that can be hashed; rows with equal values share their spans, which
     are equal too.
     """
-    names = [c for c in docs.columns if c not in (kept_col, *counts)]
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    new = (kept_col, *counts)
+    hashed = [col(f.name) for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     row = F.xxhash64(*hashed)
-    spans = repeated_spans(docs.select(row.alias("row_key"), F.col(text_col).cast("string").alias("text")), size, prefix, group)
+    spans = repeated_spans(docs.select(row.alias("row_key"), col(text_col).cast("string").alias("text")), size, prefix, group)
     spans = materialize(spans)
-    lists = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "size")).alias("__spans")).withColumnRenamed("row_key", "__key")
-    joined = docs.select(*[F.col(f"`{c}`") for c in docs.columns], row.alias("__key")).join(lists, "__key", "left")
-    out = joined.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__text"), F.col("__spans.start").alias("__start"), F.col("__spans.size").alias("__size"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+    key, text, of, found = free(docs, "row_key", "row_text", "span_key", "spans")
+    lists = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "size")).alias("spans")).toDF(of, found)
+    joined = docs.select("*", row.alias(key)).join(lists, F.col(key) == F.col(of), "left")
+    out = joined.select(*columns(docs, new), col(text_col).cast("string").alias(text), F.col(found)["start"].alias(key), F.col(found)["size"].alias(of))
+    schema = StructType(docs.select(*columns(docs, new)).schema.fields).add(kept_col, StringType()).add(counts[0], LongType()).add(counts[1], LongType())
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,6 +254,6 @@ def dedup(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, group: int
                 gone.append(total[-1] - len(found))
                 kept.append(b" ".join(found).decode())
             columns = [*batch.columns[:-3], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, kept_col, *counts])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return out.mapInArrow(strip, f"{fields}, `{kept_col}` string, `{counts[0]}` bigint, `{counts[1]}` bigint")
+    return map_arrow(out, strip, schema)
