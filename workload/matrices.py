@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqlattice.operators import counts as C
 from seqlattice.operators import ordering as O
 from seqlattice.operators import qc as Q
+from seqlattice.sources import datasets
 from workload import tables as W
 
 QUERIES, ORACLES = {}, {}
@@ -346,3 +349,63 @@ def file_hashes(spark, folder):
 
     inputs = spark.createDataFrame([(1, "driver", folder)], "ordinal BIGINT, dataset STRING, path STRING")
     return hash_files(spark, inputs).drop("input_path")
+
+
+# --- stored datasets -----------------------------------------------------------------------------
+
+_MERGED = """
+  x AS (SELECT dataset || '_' || CAST(l_suppkey AS VARCHAR) AS cell, l_suppkey, dataset, CASE dataset WHEN 'one' THEN 'x' ELSE 'y' END AS "group", l_partkey AS gene, sum(CAST(l_quantity AS BIGINT)) AS count
+        FROM (SELECT *, CASE l_linestatus WHEN 'F' THEN 'one' ELSE 'two' END AS dataset FROM lineitem) GROUP BY ALL),
+  t AS (SELECT cell, CAST(sum(count) AS BIGINT) AS total, count(*) AS genes FROM x GROUP BY 1)
+"""
+
+
+def _merged(spark, folder):
+    """Two datasets in one, cells labelled by dataset, group and candidate."""
+    lines = W.table(spark, folder, "lineitem")
+    sides = {}
+    for name, status in (("one", "F"), ("two", "O")):
+        counts = lines.filter(F.col("l_linestatus") == status).select(
+            F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("cell"), F.col("l_quantity").cast("bigint").alias("count")
+        )
+        sides[name] = C.CellDataset.from_counts(counts)
+    candidates = W.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_nationkey") % 2).cast("int").alias("candidate"))
+    return C.attach_candidates(C.merge_datasets(sides, {"one": "x", "two": "y"}), candidates, "x")
+
+
+def _stored(spark, folder):
+    from seqlattice.session import checkpoint_folder
+
+    place = f"{checkpoint_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    datasets.write_dataset(_merged(spark, folder), place, buckets=8)
+    return datasets.read_dataset(spark, place)
+
+
+@query(
+    "dataset_roundtrip",
+    f"""
+    WITH {_MERGED}
+    SELECT x.cell, dataset, "group", CAST(s_nationkey % 2 AS INT) AS fusion_candidate, genes, total, round(sum(ln(1 + count / total * 10000.0::DOUBLE)), 6) AS log_sum
+    FROM x JOIN t USING (cell) JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL
+    """,
+)
+def dataset_roundtrip(spark, folder):
+    """Two merged datasets with labels, written in buckets, read back, normalised and summed up by cell without a shuffle of counts."""
+    stored = _stored(spark, folder)
+    sums = stored.normalized().groupBy("cell").agg(F.count(F.lit(1)).alias("genes"), F.sum("count").alias("total"), F.round(F.sum("value"), 6).alias("log_sum"))
+    return stored.cells.hint("merge").join(sums, "cell").select("cell", "dataset", "group", "fusion_candidate", "genes", "total", "log_sum")
+
+
+@query(
+    "dataset_group_moments",
+    f"""
+    WITH {_MERGED},
+    n AS (SELECT count(DISTINCT cell) AS n FROM x WHERE "group" = 'y'),
+    s AS (SELECT gene, sum(count) AS s, sum(count * count) AS q, count(*) AS k FROM x WHERE "group" = 'y' GROUP BY 1)
+    SELECT g.gene, coalesce(k, 0) AS nonzero, coalesce(s, 0) / n AS mean, round(greatest(0, (coalesce(q, 0) - coalesce(s, 0)::DOUBLE * coalesce(s, 0) / n) / (n - 1)), 6) AS variance
+    FROM (SELECT DISTINCT gene FROM x) g LEFT JOIN s USING (gene), n
+    """,
+)
+def dataset_group_moments(spark, folder):
+    """Moments of all genes over the cells of one group of a stored dataset."""
+    return _stored(spark, folder).select_cells(F.col("group") == "y").moments().withColumn("variance", F.round("variance", 6))
