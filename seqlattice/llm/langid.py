@@ -31,6 +31,8 @@ SAMPLE_WINDOWS = 8
 EPOCHS = 4
 # Windows that go through the network together.
 BATCH = 96
+# Rows whose texts are prepared together.
+ROWS = 256
 
 
 @dataclass
@@ -167,25 +169,34 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     The prediction reads the whole text and nothing else. A text that is null or has no letter, and any text for a model
     without labels, is ``und`` with score 0. Every row is predicted for itself, whatever its other columns hold.
     """
-    (plain,) = free(docs, "plain_text")
+    plain, usable = free(docs, "plain_text", "usable_text")
+    kept = columns(docs, (lang_col, score_col))
     text = col(text_col).cast("string")
-    known = docs.select(*columns(docs, (lang_col, score_col)), F.when(has_letter(text), text).alias(plain))
+    known = docs.select(*kept, has_letter(text).alias(usable), text.alias(plain))
+    at = -1
+    if isinstance(docs.schema[text_col].dataType, StringType) and text_col.lower() not in (lang_col.lower(), score_col.lower()):
+        # The text travels once, as the column that it is.
+        known = known.drop(plain)
+        at = [c.lower() for c in known.columns].index(text_col.lower())
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType(known.schema.fields[:-1]).add(lang_col, StringType()).add(score_col, DoubleType())
+    own = len(kept)
+    schema = StructType(known.schema.fields[:own]).add(lang_col, StringType()).add(score_col, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             label, score = [], []
-            text = batch.columns[-1]
-            for row, data, offsets in words.pieces(text):
-                prob = _text_probabilities(model, data, offsets)
-                best = prob.argmax(axis=1) if model.labels else np.zeros(len(prob), int)
-                for k, b in enumerate(best.tolist()):
-                    real = model.labels and text[row + k].is_valid
-                    label.append(model.labels[b] if real else UNKNOWN)
-                    score.append(float(prob[k, b]) if real else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64())], schema.names)
+            text, fine = batch.columns[at], batch.columns[own].to_pylist()
+            # A few rows at a time, as what prepares them copies their texts.
+            for cut in range(0, len(text), ROWS):
+                for row, data, offsets in words.pieces(text.slice(cut, ROWS)):
+                    prob = _text_probabilities(model, data, offsets)
+                    best = prob.argmax(axis=1) if model.labels else np.zeros(len(prob), int)
+                    for k, b in enumerate(best.tolist()):
+                        real = model.labels and fine[cut + row + k]
+                        label.append(model.labels[b] if real else UNKNOWN)
+                        score.append(float(prob[k, b]) if real else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(label, pa.string()), pa.array(score, pa.float64())], schema.names)
 
     return map_arrow(known, run, schema)
 
