@@ -227,7 +227,6 @@ def annotate_pairs(
             on=[f"chrom{n}"],
             position=f"pos{n}",
             bin_size=bin_size,
-            salt_on=list(record_key),
             **join_options,
         ).drop("start", "end")
     found = found.filter(F.col("_gene_id_1") != F.col("_gene_id_2"))

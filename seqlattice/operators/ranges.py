@@ -1,4 +1,4 @@
-"""Range joins on binned coordinates, and read-to-gene assignment."""
+"""Range joins with small interval tables by bins and with large ones by a sweep, and read-to-gene assignment."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlattice.functions.regions import aligned_blocks
+from seqlattice.operators.sweep import block_extremes, sweep_join, sweep_overlaps
 
 BIN = "_bin"
-SALT = "_salt"
 
 # An interval table is broadcast only if its binned form was counted and is no larger than this.
 BROADCAST_ROWS = 500_000
-# Points of one bin handled by one task before the bin is split over salts.
-ROWS_PER_TASK = 2_000_000
+# Bytes of an exon table that goes to all tasks.
+BROADCAST_BYTES = 64 << 20
 
 
 def _div(value, size: int):
@@ -31,29 +31,6 @@ def _binned_rows(intervals: DataFrame, start: str, end: str, size: int) -> int:
     return spans or 0
 
 
-def _salted(points: DataFrame, binned: DataFrame, keys: list[str], rows_per_task: int, salt_on: Sequence[str] | None):
-    """Spread the points of crowded bins over salts and repeat the intervals of those bins.
-
-    The salt is a hash of the point, so a re-run task deals the same rows to the same partition.
-    """
-    crowded = (
-        points.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > rows_per_task)
-        .select(*keys, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_parts"))
-    )
-    if crowded.isEmpty():
-        return points, binned, keys
-    salt = F.pmod(F.xxhash64(*(salt_on or points.columns)), F.coalesce("_parts", F.lit(1))).cast("int")
-    left = points.join(crowded, keys, "left").withColumn(SALT, salt).drop("_parts")
-    right = (
-        binned.join(crowded, keys, "left")
-        .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        .drop("_parts")
-    )
-    return left, right, [*keys, SALT]
-
-
 def range_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -64,33 +41,27 @@ def range_join(
     bin_size: int = 1_000_000,
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Points inside closed intervals, as an equi-join on ``on`` and a coordinate bin.
+    """Points inside closed intervals. ``how`` is ``inner`` or ``left``.
 
-    A point has one bin, so no pair appears twice. Small interval tables are broadcast and the
-    points never move; larger ones are shuffled, with crowded bins split. ``salt_on`` names columns
-    that tell points apart (all columns by default). ``how`` is ``inner`` or ``left``.
+    Interval tables whose form by coordinate bins is small are broadcast, and the points never move; a point has one bin, so no pair
+    appears twice. Larger ones, or tables of very long intervals, are swept in the order of coordinates, without bins.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    if _binned_rows(intervals, start, end, bin_size) > broadcast_rows:
+        return sweep_join(points, intervals, on, position, start, end, how)
     points = points.withColumn(BIN, _div(position, bin_size))
     keys = [*on, BIN]
     inside = F.col(position).between(F.col(start), F.col(end))
-    small = _binned_rows(intervals, start, end, bin_size) <= broadcast_rows
-    binned = _binned(intervals, start, end, bin_size)
-    if small:
-        left, right = points, F.broadcast(binned)
-    else:
-        left, right, keys = _salted(points, binned, keys, rows_per_task, salt_on)
+    right = F.broadcast(_binned(intervals, start, end, bin_size))
     # The keys are renamed on the interval side so that the containment test can sit in the join.
     right = right.select(*[F.col(k).alias(f"_i_{k}") if k in keys else F.col(k) for k in right.columns])
     same = inside
     for key in keys:
         same = same & (F.col(key) == F.col(f"_i_{key}"))
-    joined = left.join(right, same, how)
-    return joined.drop(*[f"_i_{k}" for k in keys], BIN, SALT)
+    joined = points.join(right, same, how)
+    return joined.drop(*[f"_i_{k}" for k in keys], BIN)
 
 
 def overlap_join(
@@ -101,25 +72,23 @@ def overlap_join(
     interval: tuple[str, str] = ("start", "end"),
     bin_size: int = 100_000,
     broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Pairs of overlapping closed intervals; a pair is kept only in the bin where its overlap starts."""
-    binned = _binned(intervals, *interval, bin_size)
-    small = _binned_rows(intervals, *interval, bin_size) <= broadcast_rows
+    """Pairs of overlapping closed intervals.
+
+    With a small, broadcast interval table a pair is kept only in the bin where its overlap starts; otherwise both are swept.
+    """
+    if _binned_rows(intervals, *interval, bin_size) > broadcast_rows:
+        return sweep_overlaps(spans, intervals, on, span, interval)
     left = _binned(spans, *span, bin_size)
     keys = [*on, BIN]
-    if small:
-        right = F.broadcast(binned)
-    else:
-        left, right, keys = _salted(left, binned, keys, rows_per_task, salt_on)
+    right = F.broadcast(_binned(intervals, *interval, bin_size))
     right = right.select(*[F.col(k).alias(f"_i_{k}") if k in keys else F.col(k) for k in right.columns])
     first = F.greatest(F.col(span[0]), F.col(interval[0]))
     same = (F.col(span[0]) <= F.col(interval[1])) & (F.col(span[1]) >= F.col(interval[0]))
     same = same & (F.floor(first / F.lit(bin_size)).cast("bigint") == F.col(BIN))
     for key in keys:
         same = same & (F.col(key) == F.col(f"_i_{key}"))
-    return left.join(right, same).drop(*[f"_i_{k}" for k in keys], BIN, SALT)
+    return left.join(right, same).drop(*[f"_i_{k}" for k in keys], BIN)
 
 
 def assign_reads(
@@ -128,35 +97,39 @@ def assign_reads(
     key: Sequence[str],
     min_mapq: int | None = 255,
     both_ends: bool = True,
-    **join_options,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Gene of each alignment, or the reason why it has none.
 
     ``alignments``: key columns, ``flag``, ``rname``, ``pos``, ``mapq``, ``cigar`` and ``nh`` (number of
     reported hits, null for 1). ``exons``: ``chrom``, ``start``, ``end``, ``gene_id``. Each alignment
     counts on its own; strands are ignored; one overlapping base is enough.
+
+    Exons of at most ``broadcast_rows`` rows, of at most BROADCAST_BYTES, go to all tasks, and alignments stay where they are. Larger ones are
+    swept with the blocks of the alignments, which meet their alignments again by ``key``.
     """
     kept = alignments if min_mapq is None else alignments.filter(F.col("mapq") >= min_mapq)
-    blocks = kept.select(
-        *key,
-        F.col("rname").alias("chrom"),
-        F.explode(aligned_blocks("pos", "cigar")).alias("_block"),
-    ).select(*key, "chrom", F.col("_block.start").alias("from"), F.col("_block.end").alias("to"))
-    hits = overlap_join(blocks, exons.select("chrom", "start", "end", "gene_id"), salt_on=[*key, "from"], **join_options)
-    genes = hits.groupBy(*key).agg(F.min("gene_id").alias("_low"), F.max("gene_id").alias("_high"))
+    blocks = aligned_blocks("pos", "cigar")
+    given = exons.select("chrom", "start", "end", "gene_id")
+    rows, size = given.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("chrom") + F.length("gene_id") + 24), F.lit(0))).first()
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
+        found = kept.withColumn("_genes", block_extremes(F.col("rname"), blocks, given, "gene_id"))
+    else:
+        spans = kept.select(*key, F.col("rname").alias("chrom"), F.explode(blocks).alias("_block"))
+        spans = spans.select(*key, "chrom", F.col("_block.start").alias("from"), F.col("_block.end").alias("to"))
+        hits = sweep_overlaps(spans, given)
+        genes = hits.groupBy(*key).agg(F.struct(F.min("gene_id").alias("low"), F.max("gene_id").alias("high")).alias("_genes"))
+        found = kept.join(genes, list(key), "left")
+    low, high = F.col("_genes.low"), F.col("_genes.high")
     unmapped = F.col("flag").bitwiseAND(0x4) != 0
     lone = F.lit(both_ends) & (F.col("flag").bitwiseAND(0x1) != 0) & (F.col("flag").bitwiseAND(0x8) != 0)
     status = (
         F.when(unmapped, "Unassigned_Unmapped")
         .when(lone, "Unassigned_Singleton")
         .when(F.coalesce("nh", F.lit(1)) > 1, "Unassigned_MultiMapping")
-        .when(F.col("_low").isNull(), "Unassigned_NoFeatures")
-        .when(F.col("_low") != F.col("_high"), "Unassigned_Ambiguity")
+        .when(low.isNull(), "Unassigned_NoFeatures")
+        .when(low != high, "Unassigned_Ambiguity")
         .otherwise("Assigned")
     )
-    return (
-        kept.join(genes, list(key), "left")
-        .withColumn("status", status)
-        .withColumn("gene_id", F.when(F.col("status") == "Assigned", F.col("_low")))
-        .drop("_low", "_high")
-    )
+    named = found.withColumn("status", status).withColumn("gene_id", F.when(F.col("status") == "Assigned", low))
+    return named.drop("_genes")

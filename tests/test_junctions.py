@@ -196,14 +196,14 @@ def test_gene_in_two_intervals_counts_once(spark):
 
 
 @pytest.mark.parametrize("bin_size", [1, 7, 50, 1000])
-@pytest.mark.parametrize("mode", ["broadcast", "shuffled", "salted"])
+@pytest.mark.parametrize("mode", ["broadcast", "swept"])
 def test_range_join_equals_nested_loop(spark, bin_size, mode):
     rnd = random.Random(bin_size)
     points = [(i, rnd.choice("xy"), 30 if i % 3 == 0 else rnd.randint(0, 300)) for i in range(200)]
     spans = [(j, rnd.choice("xy"), s, s + rnd.randint(0, 60)) for j, s in enumerate(rnd.randint(0, 300) for _ in range(60))]
     left = spark.createDataFrame(points, "id int, chrom string, pos long")
     right = spark.createDataFrame(spans, "gene int, chrom string, start long, end long")
-    options = {"broadcast": {}, "shuffled": {"broadcast_rows": 0}, "salted": {"broadcast_rows": 0, "rows_per_task": 10}}[mode]
+    options = {"broadcast": {}, "swept": {"broadcast_rows": 0}}[mode]
     got = sorted((r["id"], r["gene"]) for r in G.range_join(left, right, bin_size=bin_size, **options).collect())
     assert got == sorted((p[0], s[0]) for p in points for s in spans if p[1] == s[1] and s[2] <= p[2] <= s[3])
     outer = G.range_join(left, right, bin_size=bin_size, how="left", **options)
@@ -231,6 +231,7 @@ def test_blocks_and_assignment(spark, as_rows):
     ]
     reads = spark.createDataFrame(rows, "id int, flag int, rname string, pos long, mapq int, cigar string, nh int")
     assigned = as_rows(G.assign_reads(reads, exons, ["id"]).select("id", "status", "gene_id"), "id")
+    assert assigned == as_rows(G.assign_reads(reads, exons, ["id"], broadcast_rows=0).select("id", "status", "gene_id"), "id")
     assert assigned == [
         (1, "Assigned", "g1"), (2, "Unassigned_Ambiguity", None), (3, "Unassigned_NoFeatures", None),
         (4, "Unassigned_MultiMapping", None), (5, "Unassigned_Singleton", None), (7, "Assigned", "g1"),

@@ -230,7 +230,7 @@ def _assigned(spark, folder):
         F.when(F.col("l_discount") >= 0.09, 2).otherwise(1).alias("nh"),
     )
     exons = W.gene_intervals(spark, folder).select("chrom", "start", "end", "gene_id")
-    return G.assign_reads(alignments, exons, KEY, bin_size=W.BIN)
+    return G.assign_reads(alignments, exons, KEY)
 
 
 @query(
