@@ -162,7 +162,7 @@ def principal_components(scaled: DataFrame, cells: DataFrame, genes: int, k: int
 
 
 def component_count(cells: int, genes: int, wanted: int = 30) -> int:
-    require(cells >= 4 and genes >= 3, "An embedding needs at least 4 cells and 3 genes")
+    require(cells >= 4 and genes >= 3, "Too small to embed: fewer than 4 cells or 3 genes")
     k = min(wanted, cells - 1, genes - 1)
     require(k >= 2, "Too few dimensions for an embedding")
     return k

@@ -310,8 +310,8 @@ def category_summary(
 def check_metadata(metadata: DataFrame) -> DataFrame:
     """Read metadata: keys present, and repeated keys only as identical rows."""
     if metadata.isEmpty():
-        raise ContractError("No read metadata records")
-    expect(metadata, F.col("star_read_name") != "", "Empty star_read_name")
+        raise ContractError("The metadata table of the reads is empty")
+    expect(metadata, F.col("star_read_name") != "", "A metadata row names no read")
     distinct = metadata.dropDuplicates()
-    expect_unique(distinct, ["star_read_name"], "Conflicting metadata for a read name")
+    expect_unique(distinct, ["star_read_name"], "One read has several different metadata rows")
     return distinct

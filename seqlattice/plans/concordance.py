@@ -80,7 +80,7 @@ def bulk_test(counts: DataFrame, genes: DataFrame, samples: DataFrame, settings:
     """Tested genes with statistics and mean levels, and the library table."""
     contrast = settings.contrast
     kept = materialize(B.filter_by_expr(counts, samples))
-    require(kept.select("gene").distinct().limit(2).count() == 2, "Fewer than two genes passed the expression filter")
+    require(kept.select("gene").distinct().limit(2).count() == 2, "The expression filter leaves less than two genes")
     factors = materialize(B.tmm_factors(kept))
     tested = B.ql_test(kept, samples, factors, contrast)
     levels = B.mean_cpm(B.cpm(kept, factors), samples, contrast)
@@ -119,7 +119,7 @@ def run(
     if settings.feature_column:
         data = data.collapse(settings.feature_column)
     data = CellDataset(materialize(data.counts), materialize(data.features.select("gene").distinct()), materialize(data.cells))
-    require(not data.cells.isEmpty(), "No single cells passed the keep filter")
+    require(not data.cells.isEmpty(), "The keep column leaves no cell")
     data.check_counts()
 
     summary, groups = M.pseudobulk(data, contrast, settings.pseudocount)

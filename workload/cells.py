@@ -29,13 +29,13 @@ def _rounded(df, digits: dict[str, int]):
 
 
 def _parts(spark, folder):
-    return M.keep_cells(W.part_dataset(spark, folder), "analysis_keep", check=False)
+    return M.keep_cells(W.part_dataset(spark, folder), "analysis_keep")
 
 
 def _symbols(spark, folder):
     data = W.part_dataset(spark, folder)
     named = type(data)(data.counts, W.symbol_features(spark, folder), data.cells).collapse("gene_name")
-    return M.keep_cells(named, "analysis_keep", check=False)
+    return M.keep_cells(named, "analysis_keep")
 
 
 BULK_SC_SQL = """,

@@ -136,7 +136,7 @@ def _sam_lines(spark, folder):
     """,
 )
 def sam_primary(spark, folder):
-    return O.primary_transcripts(T.parse_sam(_sam_lines(spark, folder), check=False), length=16, check=False)
+    return O.primary_transcripts(T.parse_sam(_sam_lines(spark, folder)), length=16)
 
 
 @query(
@@ -177,13 +177,13 @@ def mate_pairing(spark, folder):
     """,
 )
 def bottom_k_hash(spark, folder):
-    chosen = O.bottom_k(read_pairs(spark, folder), "read_id", 100, 7, method="sha256", check=False)
+    chosen = O.bottom_k(read_pairs(spark, folder), "read_id", 100, 7, method="sha256")
     return chosen.select("ordinal", "output_index", R.output_name("sub", "output_index", 1).alias("name"))
 
 
 @query("bottom_k_blake2b")
 def bottom_k_blake2b(spark, folder):
-    chosen = O.bottom_k(read_pairs(spark, folder), "read_id", 100, 7, check=False)
+    chosen = O.bottom_k(read_pairs(spark, folder), "read_id", 100, 7)
     return chosen.select("ordinal", "output_index")
 
 
@@ -202,7 +202,7 @@ def bottom_k_blake2b(spark, folder):
 )
 def subset_summary(spark, folder):
     pairs = read_pairs(spark, folder)
-    chosen = O.bottom_k(pairs, "read_id", 100, 7, method="sha256", check=False)
+    chosen = O.bottom_k(pairs, "read_id", 100, 7, method="sha256")
     return O.subset_summary(pairs, chosen, "sub", 7, ANCHOR, UMI_LENGTH, method="sha256")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from seqlattice.functions.reads import fastq_record
 from seqlattice.operators.counts import CellDataset
+from seqlattice.operators.reads import primary_transcripts
+from seqlattice.schemas import Contrast, DeColumns, GeneColumns
 from seqlattice.session import checkpoint_folder
 from seqlattice.sources import tables, text, writers
 from workload.tables import table
@@ -204,6 +206,95 @@ def fastq_pairs_roundtrip(spark, folder):
     return pairs.select(F.split("sample", ":")[0].alias("lang"), "read_id", F.length("seq1").alias("bases"), unknown.alias("unknown"), F.col("seq2").alias("barcode"))
 
 
+@query(
+    "primary_roundtrip",
+    """
+    SELECT 'Q=' || url_encode(p_name || '~' || p_partkey) || '|CB=' || url_encode(translate(p_brand, '#', '*')) || '|UB=' || url_encode(p_type) || '|CR=|UR=' AS star_read_name,
+      p_name || '~' || p_partkey AS original_qname, translate(p_brand, '#', '*') AS "CB", p_type AS "UB", '' AS "CR", '' AS "UR",
+      CASE WHEN p_size % 2 = 1 THEN reverse(translate(s, 'ACGTRYMKBDHV', 'TGCAYRKMVHDB')) ELSE s END[1:16] AS seq,
+      CASE WHEN p_size % 2 = 1 THEN s ELSE reverse(s) END[1:16] AS qual
+    FROM (SELECT *, upper(translate(p_name || p_type || p_brand, ' #', 'NN')) AS s FROM part) WHERE p_size <= 45
+    """,
+)
+def primary_roundtrip(spark, folder):
+    """Primary alignments as reads and their metadata table, written from the same rows; reads meet their metadata again by name."""
+    from seqlattice.sources.fastq import read_fastq_text
+    from workload.reads import _sam_lines
+
+    reads = primary_transcripts(text.parse_sam(_sam_lines(spark, folder)), length=16)
+    place = _folder(spark)
+    writers.write_primary(reads, f"{place}/reads", f"{place}/metadata")
+    metadata = tables.read_read_metadata(spark, f"{place}/metadata")
+    found = read_fastq_text(spark, f"{place}/reads").select(F.col("read_id").alias("star_read_name"), "seq", "qual")
+    return found.join(metadata, "star_read_name").select("star_read_name", "original_qname", "CB", "UB", "CR", "UR", "seq", "qual")
+
+
+LIBRARIES = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
+@query(
+    "wide_roundtrip",
+    """
+    SELECT CAST(gene AS BIGINT) AS gene, sample, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS count
+    FROM (SELECT DISTINCT l_partkey AS gene FROM lineitem) CROSS JOIN (SELECT unnest(['AF', 'AO', 'NF', 'NO', 'RF', 'RO']) AS sample)
+    LEFT JOIN lineitem ON l_partkey = gene AND l_returnflag || l_linestatus = sample GROUP BY 1, 2
+    """,
+)
+def wide_roundtrip(spark, folder):
+    """A wide count matrix of all libraries, written compressed and read back as counts."""
+    sample = F.concat("l_returnflag", "l_linestatus")
+    counts = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("gene"), sample.alias("cell"), F.col("l_quantity").cast("long").alias("count"))
+    place = _folder(spark)
+    writers.write_wide_counts(counts, place, LIBRARIES)
+    found, _ = tables.read_bulk_matrix(spark, place, LIBRARIES, GeneColumns("gene_id", "gene_id", "gene_id"))
+    return found.select(F.col("gene").cast("long").alias("gene"), "sample", "count")
+
+
+@query(
+    "de_roundtrip",
+    """
+    SELECT 'g' || p_partkey AS gene_id, p_name AS gene_name, p_brand AS gene_biotype, -2.0::DOUBLE * (((p_partkey * 104729) % 2001 - 1000) / 250.0::DOUBLE) AS "logFC",
+      ((p_partkey * 7919) % 10007) / 10007.0::DOUBLE AS "PValue", ((p_partkey * 31) % 101) / 101.0::DOUBLE AS "FDR"
+    FROM part
+    """,
+)
+def de_roundtrip(spark, folder):
+    """A table of expression changes under other column names; effects are turned round and doubled when it is read."""
+    key = F.col("p_partkey")
+    rows = table(spark, folder, "part").select(
+        F.concat(F.lit("g"), key).alias("EnsemblID"), F.col("p_name").alias("gene_name"), F.col("p_brand").alias("kind"),
+        (((key * 104729) % 2001 - 1000) / 250.0).alias("change"), (((key * 7919) % 10007) / 10007.0).alias("p"), (((key * 31) % 101) / 101.0).alias("q"),
+    )
+    place = _folder(spark)
+    writers.write_tsv(rows, place, rows.columns, order=["EnsemblID"])
+    return tables.read_de_table(spark, place, DeColumns("EnsemblID", "gene_name", "kind", "change", "p", "q"), multiplier=-2.0).drop("ordinal")
+
+
+@query(
+    "sample_tables_roundtrip",
+    """
+    SELECT 'C' || c_custkey AS sample, row_number() OVER (ORDER BY c_custkey) AS ordinal, CASE c_custkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS condition,
+      CAST(c_custkey % 3 = 0 AS INT) AS candidate, c_mktsegment AS "group", 'C' || c_custkey || '_2.fq' AS mate
+    FROM customer
+    """,
+)
+def sample_tables_roundtrip(spark, folder):
+    """Manifest, conditions, candidates and cell metadata of the same samples, each through its own file, brought together again."""
+    key = F.col("c_custkey")
+    rows = table(spark, folder, "customer").select(
+        key.alias("key"), F.concat(F.lit("C"), key).alias("sample"), F.when(key % 2 == 0, "A").otherwise("B").alias("condition"),
+        (key % 3 == 0).cast("int").alias("expected_BCR_ABL1_candidate"), F.col("c_mktsegment").alias("group"),
+    )
+    rows = rows.withColumn("r1", F.concat("sample", F.lit("_1.fq"))).withColumn("r2", F.concat("sample", F.lit("_2.fq")))
+    place = _folder(spark)
+    for name, columns in (("manifest", ["sample", "r1", "r2"]), ("conditions", ["sample", "condition"]), ("candidates", ["sample", "expected_BCR_ABL1_candidate"]), ("cells", ["sample", "group"])):
+        writers.write_tsv(rows, f"{place}/{name}", columns, order=["key"])
+    manifest = tables.read_manifest(spark, f"{place}/manifest").select("sample", "ordinal", F.regexp_extract("r2", "([^/]+)$", 1).alias("mate"))
+    conditions = tables.read_bulk_samples(spark, f"{place}/conditions", Contrast("A", "B")).drop("ordinal")
+    candidates, cells = tables.read_candidates(spark, f"{place}/candidates"), tables.read_cell_metadata(spark, f"{place}/cells")
+    return manifest.join(conditions, "sample").join(candidates, "sample").join(cells, "sample").select("sample", "ordinal", "condition", "candidate", "group", "mate")
+
+
 def _text_reads(spark, folder) -> DataFrame:
     """Whole texts as reads, line ends as N like all that is no letter, through FASTQ files in a folder for each language."""
     from seqlattice.sources.fastq import read_fastq_text
