@@ -31,8 +31,6 @@ SAMPLE_WINDOWS = 8
 EPOCHS = 4
 # Windows that go through the network together.
 BATCH = 96
-# Rows whose texts are prepared together.
-ROWS = 256
 
 
 @dataclass
@@ -187,15 +185,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             label, score = [], []
             text, fine = batch.columns[at], batch.columns[own].to_pylist()
-            # A few rows at a time, as what prepares them copies their texts.
-            for cut in range(0, len(text), ROWS):
-                for row, data, offsets in words.pieces(text.slice(cut, ROWS)):
-                    prob = _text_probabilities(model, data, offsets)
-                    best = prob.argmax(axis=1) if model.labels else np.zeros(len(prob), int)
-                    for k, b in enumerate(best.tolist()):
-                        real = model.labels and fine[cut + row + k]
-                        label.append(model.labels[b] if real else UNKNOWN)
-                        score.append(float(prob[k, b]) if real else 0.0)
+            for row, data, offsets in words.few_pieces(text):
+                prob = _text_probabilities(model, data, offsets)
+                best = prob.argmax(axis=1) if model.labels else np.zeros(len(prob), int)
+                for k, b in enumerate(best.tolist()):
+                    real = model.labels and fine[row + k]
+                    label.append(model.labels[b] if real else UNKNOWN)
+                    score.append(float(prob[k, b]) if real else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(label, pa.string()), pa.array(score, pa.float64())], schema.names)
 
     return map_arrow(known, run, schema)

@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, gr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for _, data, offsets in words.pieces(batch.column(1), PIECE):
+            for _, data, offsets in words.few_pieces(batch.column(1), PIECE):
                 total += np.bincount(_slot(_windows(data, offsets, size, prefix)[3]), minlength=SLOTS)
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
@@ -148,7 +148,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, prefix: int = PREFIX, gr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, parts = plan.value
         for batch in batches:
-            for row, data, offsets in words.pieces(batch.column(1), PIECE):
+            for row, data, offsets in words.few_pieces(batch.column(1), PIECE):
                 key = batch.column(0).slice(row, len(offsets) - 1).to_numpy()
                 text, local, anchor, head, whole = _windows(data, offsets, size, prefix)
                 if not len(text):
