@@ -5,8 +5,8 @@ clamped to it and what they leave is shared out among the others by weight, agai
 water level, words for a unit of weight, is an exact fraction, and only it and counts reach the driver.
 
 A target is a whole number of repetitions of the source and a part of one. The part goes to the documents that come first in
-the order of a seeded hash. Where that order reaches the target is found in two steps, by ranges of the hash and then
-by the hashes of one range, so no task sorts a source.
+the order of a seeded hash. Where that order reaches the target is found in steps, by ranges of the hash and then by ranges and
+hashes of the range found, so no task sorts a source.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from seqlattice.llm.names import col, columns, free
 from seqlattice.session import materialize
 
 EPOCHS = 3
-# Leading hexadecimal digits of a hash that name its range: 65,536 ranges of a source.
-RANGE = 4
+# Leading hexadecimal digits of a hash that name its range, from step to step; the last step takes whole hashes. No step but the last
+# has more than 4,096 ranges of a source, and the last has one hash for each 16 million of its documents.
+DIGITS = (3, 6, 32)
 _BIG = "decimal(38,0)"
 
 
@@ -112,20 +113,23 @@ def mix(
     rows = docs.select(*columns(docs, new), *added)
     slim = rows.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(order).alias("hash"))
 
-    held = slim.groupBy("source", F.substring("hash", 1, RANGE).alias("range")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    held = slim.groupBy("source", F.substring("hash", 1, DIGITS[0]).alias("range")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
     held = materialize(held)
     sizes = held.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows"))
     goals = targets(sizes, weights, total, epochs).join(sizes.select(F.col("source").alias("counted"), "rows"), F.col("source").eqNullSafe(F.col("counted"))).drop("counted")
     goals = materialize(goals)
 
-    cut = goals.filter("part > 0").select(F.col("source").alias("of"), "part")
-    along = Window.partitionBy("source").orderBy("range")
-    ranges = held.join(cut, F.col("source").eqNullSafe(F.col("of"))).withColumn("before", F.sum("words").over(along) - F.col("words"))
-    edge = ranges.filter("before <= part AND part < before + words").select("of", F.col("range").alias("edge"), (F.col("part") - F.col("before")).alias("part"))
-    inside = slim.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.substring("hash", 1, RANGE) == F.col("edge")))
-    by_hash = inside.groupBy("source", "hash", "part").agg(F.sum("size").alias("words"))
-    first = by_hash.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("hash")) - F.col("words"))
-    last = first.filter("before <= part AND part < before + words").select(F.col("source").alias("of"), F.col("hash").alias("last"), (F.col("part") - F.col("before")).alias("room"), "words")
+    edge = goals.filter("part > 0").select(F.col("source").alias("of"), "part")
+    sums = held.join(edge, F.col("source").eqNullSafe(F.col("of")))
+    for digits, more in zip(DIGITS, (*DIGITS[1:], 0)):
+        # The range of hashes in which the part of a source ends, and what is left of the part there.
+        before = F.sum("words").over(Window.partitionBy("source").orderBy("range")) - F.col("words")
+        found = sums.withColumn("before", before).filter("before <= part AND part < before + words")
+        edge = found.select(F.col("source").alias("of"), F.col("range").alias("edge"), (F.col("part") - F.col("before")).alias("part"), F.col("words").alias("edge_words"))
+        if more:
+            inside = slim.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.substring("hash", 1, digits) == F.col("edge")))
+            sums = inside.groupBy("source", F.substring("hash", 1, more).alias("range"), "part").agg(F.sum("size").alias("words"))
+    last = edge.select("of", F.col("edge").alias("last"), F.col("part").alias("room"), F.col("edge_words").alias("words"))
 
     plan = materialize(goals.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "rows", F.struct("source_size", "target", "whole", "last", "room", "words").alias("plan")))
     every = int(plan.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
