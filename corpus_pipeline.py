@@ -6,10 +6,10 @@ of their input, whatever those are; ``doc_id``, ``text`` and, for training, ``la
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.llm import jaccard, langid, packing, substrings
+from seqlattice.llm import jaccard, langid, names, packing, substrings
 from seqlattice.llm.queries import tokenizer
 from seqlattice.session import materialize
 
@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.labels:
         return docs.filter(langid.has_letter(F.col("text").cast("string")))
-    named = langid.predict(docs, model, lang_col="__lang", score_col="__score")
-    return named.filter(F.col("__lang") != langid.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = names.free(docs, "lang_found", "lang_score")
+    named = langid.predict(docs, model, lang_col=lang, score_col=score)
+    return named.filter(F.col(lang) != langid.UNKNOWN).select(*names.columns(docs))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,15 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that agree in id and text one stays. Rows with a null id link with nothing and all stay.
     """
-    found = jaccard.join(docs)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi")
-    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    single = stays.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").drop("__copy")
-    return single.unionByName(docs.filter("doc_id IS NULL"))
+    return jaccard.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 35 words or more that occur more than once; ``n_chars``, if there, follows."""
-    done = substrings.dedup(docs, kept_col="__kept", counts=("__words", "__removed"))
-    new = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    kept, *counts = names.free(docs, "words_kept", "words_all", "words_removed")
+    done = substrings.dedup(docs, kept_col=kept, counts=tuple(counts))
+    new = {"text": F.col(kept), "n_chars": F.length(kept).cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else names.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

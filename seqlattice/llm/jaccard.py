@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from seqlattice.llm import words
+from seqlattice.llm import bloom, names, words
 from seqlattice.llm.words import U64
 from seqlattice.operators.graph import connected_components
 from seqlattice.session import materialize
@@ -31,7 +32,7 @@ SHINGLE = 5
 # Link where intersection * 100 >= THRESHOLD * union.
 THRESHOLD = 80
 # N-grams of a hash range, of a tree, and sets of a tree.
-RANGE = 2_000_000
+RANGE = 1_000_000
 # Counters of the suspects' n-grams by hash, kept in slices; see _ordered.
 COUNTERS = 1 << 18
 SLICES = 64
@@ -58,17 +59,18 @@ def _name(grams: np.ndarray) -> int:
 
 
 def set_names(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_key`` per row; an empty set has no key."""
+    """``doc_id, n_shingles, set_key, text_key`` per row; an empty set has no key. ``text_key`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in words.pieces(batch.column(1)):
+            for row, data, offsets in words.few_pieces(batch.column(1)):
                 found = [(len(s), _name(s) if len(s) else None) for s in _sets(data, offsets, size)]
-                counts, names = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), pa.array(counts, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "set_key"])
+                counts, keys = zip(*found)
+                columns = [batch.column(0).slice(row, len(found)), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), batch.column(2).slice(row, len(found))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "text_key"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+    rows = docs.select(names.col(id_col).cast("long").alias("doc_id"), names.col(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key long, text_key long")
 
 
 _BLOCK = "part long, keys binary, counts binary, grams binary"
@@ -155,7 +157,8 @@ def _settled(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """What each set has to send, and how many of its n-grams another of these sets has as well.
 
     An n-gram of several sets stays in the first of them only, marked in bit 32, so one that very many sets share is sent
-    once for each piece of the input.
+    once for each piece of the input. N-grams travel without their low bits; those of one set that agree in the others would be taken for
+    one, and each counts here as shared, so no set counts fewer than it has.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets)
@@ -168,7 +171,9 @@ def _settled(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     shared[order[:-1][same]] = True
     sent = np.where(shared, flat | _MARK, flat & ~_MARK)[~later]
     kept = np.bincount(owner[~later], minlength=len(sets))
-    return np.split(sent, np.cumsum(kept)[:-1]), np.bincount(owner[shared], minlength=len(sets))
+    alike = ((flat[1:] ^ flat[:-1]) >> U64(33) == 0) & (owner[1:] == owner[:-1])
+    again = np.bincount(owner[1:][alike], minlength=len(sets))
+    return np.split(sent, np.cumsum(kept)[:-1]), np.bincount(owner[shared], minlength=len(sets)) + again
 
 
 def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts: int) -> DataFrame:
@@ -176,7 +181,7 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in words.pieces(batch.column(0), 2 * words.PIECE):
+            for _, data, offsets in words.few_pieces(batch.column(0)):
                 found = {_name(s): s for s in _sets(data, offsets, size) if len(s)}
                 if found:
                     names, sets, twice = np.array(list(found), np.int64), *_settled(list(found.values()))
@@ -199,6 +204,7 @@ def _suspects(docs: DataFrame, sets: DataFrame, size: int, threshold: int, parts
         for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
             columns = [pa.array([part[rows[0]]], pa.int64()), pa.array([keys[rows].tobytes()], pa.binary()), pa.array([often[rows].tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "often"])
+        words.release()
 
     def total(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often = [], []
@@ -281,6 +287,7 @@ def _ordered(sets: DataFrame, parts: int) -> DataFrame:
         for cut in range(0, len(keys), 2048):
             rows = range(cut, min(cut + 2048, len(keys)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[cut : rows.stop]), pa.array([ranked[stop[r] - counts[r] : stop[r]].tobytes() for r in rows], pa.binary())], ["set_key", "grams"])
+        words.release()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,41 +464,101 @@ def _tree_links(ordered: DataFrame, cells: DataFrame, threshold: int) -> DataFra
     return filled.groupBy("unit", "small", "r", "s").applyInArrow(run, "src long, dst long")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``.
+def _id_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return words.mix(batch.column(0).to_numpy().view(U64) + U64(1))
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct runs of ``size`` words, or the whole
-    sequence of a shorter text. Two rows link where ``100 * intersection >= threshold * union``; the component is the
-    smallest ``doc_id`` that links reach. Null, empty and blank texts have the empty set and link with nothing. Rows of
-    equal sets are one set, so copies are not paired up; a repeated row is one row more. A row with a null id
-    links with nothing and has a null component. Other columns are not read.
 
-    N-grams are 64-bit hashes; that two different ones of a table meet has a probability of about its number of
-    n-grams squared over 2**65.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _linked(docs: DataFrame, size: int, threshold: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``set_names`` of the rows, and ``set_key, root`` of each set: equal roots are connected by links."""
+    texts = docs.select(names.col(id_col).cast("long").alias("doc_id"), names.col(text_col).cast("string").alias("text"))
     named = materialize(set_names(texts, size))
     sets = named.filter("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     suspects = materialize(_suspects(texts.filter("doc_id IS NOT NULL").select("text"), sets, size, threshold, max(1, -(-total // RANGE))))
+    kept, count = suspects.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
+
+    # Texts of other ids are left where they are; the join is exact for the rest.
+    likely = docs.sparkSession.sparkContext.broadcast(bloom.build(suspects.select("doc_id"), count, _id_hashes))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.contains(likely.value, _id_hashes(batch))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in words.pieces(batch.column(2)):
+            for row, data, offsets in words.few_pieces(batch.column(2)):
                 keys = batch.column(1).slice(row, len(offsets) - 1).to_pylist()
                 found = [(k, s) for k, s in enumerate(_sets(data, offsets, size)) if _name(s) == keys[k]]
                 rows = pa.array([row + k for k, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([s.tobytes() for _, s in found], pa.binary())], ["set_key", "grams"])
 
-    chosen = suspects.select("doc_id", "set_key").join(texts, "doc_id").select("doc_id", "set_key", "text")
+    picked = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(pick, "doc_id long, text string")
+    chosen = suspects.select("doc_id", "set_key").join(picked, "doc_id").select("doc_id", "set_key", "text")
     left = materialize(chosen.mapInArrow(grams, "set_key long, grams binary"))
-    kept = suspects.agg(F.sum("n_shingles")).first()[0] or 0
     ordered = materialize(_ordered(left, max(1, -(-kept // RANGE))))
     cells = connected_components(_ties(ordered, threshold))
     links = connected_components(_tree_links(ordered, materialize(cells), threshold))
-    # Sets are linked by their keys, as one id may have several; a component is named by the smallest id of its sets.
-    linked = sets.join(links.select(F.col("node").alias("set_key"), "component"), "set_key", "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("root"))
+    # Sets are linked by their keys, as one id may have several.
+    linked = sets.join(links.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    return named, linked.select("set_key", "doc_id", F.coalesce("component", "set_key").alias("root"))
+
+
+def join(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``docs``.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct runs of ``size`` words, or the whole
+    sequence of a shorter text. Two rows link where ``100 * intersection >= threshold * union``; the component is the
+    smallest ``doc_id`` that links reach. Null, empty and blank texts have the empty set and link with nothing. Rows of
+    equal sets are one set, so copies are not paired up; a repeated row is one row more. A row with a null id
+    links with nothing and has a null component. Other columns are not read.
+
+    N-grams are 64-bit hashes, of which trees compare 56 bits; that two different ones of a table meet has a probability of about
+    its number of n-grams squared over 2**57.
+    """
+    named, linked = _linked(docs, size, threshold, id_col, text_col)
     lowest = linked.groupBy("root").agg(F.min("doc_id").alias("component"))
     component = linked.join(lowest, "root").select("set_key", "component")
     joined = named.join(component, "set_key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that with the smallest id, of several the one whose text has the smallest hash.
+
+    Of rows that agree in id and text one stays. Rows with a null id link with nothing and all stay; so do rows without words, one for each
+    id and text. Columns are kept as they are, whatever their names.
+
+    Rows are judged by id and a 64-bit hash of the text. Only rows that are, or by a Bloom filter may be, copies of something are moved.
+    """
+    named, linked = _linked(docs, size, threshold, id_col, text_col)
+    roots = named.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_key", "set_key").agg(F.count(F.lit(1)).alias("rows"))
+    roots = materialize(roots.join(linked.select("set_key", "root"), "set_key", "left").select("doc_id", "text_key", "root", "rows"))
+    first = roots.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    judged = roots.join(first, "root", "left")
+    stays = F.col("root").isNull() | (F.struct("doc_id", "text_key") == F.col("first"))
+    copies = materialize(judged.select("doc_id", "text_key", stays.alias("stays"), "rows").filter("NOT stays OR rows > 1").select("doc_id", "text_key", "stays"))
+
+    likely = docs.sparkSession.sparkContext.broadcast(bloom.build(copies, copies.count(), _row_hashes))
+    rows, number, key = names.free(docs, "row_id", "row_text", "row_copy")
+    keyed = docs.select(*names.columns(docs), names.col(id_col).cast("long").alias(rows), F.xxhash64(names.col(text_col).cast("string")).alias(number))
+
+    @F.arrow_udf(BooleanType())
+    def maybe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, texts in batches:
+            yield pa.array(bloom.contains(likely.value, _pair_hashes(ids.to_numpy(), texts.to_numpy())))
+
+    marked = keyed.withColumn(key, F.col(rows).isNotNull() & maybe(F.coalesce(rows, F.lit(0)), number))
+    of, text, stay = names.free(marked, "copy_id", "copy_text", "copy_stays")
+    # A row that is no copy has an id and text of its own, so dropping repeats changes nothing for it.
+    near = marked.filter(F.col(key)).dropDuplicates([rows, number])
+    near = near.join(copies.toDF(of, text, stay), (F.col(rows) == F.col(of)) & (F.col(number) == F.col(text)), "left").filter(f"coalesce({stay}, true)")
+    kept = names.columns(docs)
+    return marked.filter(~F.col(key)).select(*kept).unionByName(near.select(*kept))
+
+
+def _pair_hashes(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    return words.mix(words.mix(ids.view(U64) + U64(1)) + texts.view(U64))
+
+
+def _row_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return _pair_hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy())

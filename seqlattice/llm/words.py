@@ -123,6 +123,13 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray
 ROWS = 1024
 
 
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few_pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``pieces`` of ``ROWS`` rows at a time, as what makes them ready copies their texts; memory that is free then goes back to the system.
 
@@ -131,9 +138,7 @@ def few_pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, np.nda
     for cut in range(0, len(texts), ROWS):
         for row, data, offsets in pieces(texts.slice(cut, ROWS), size):
             yield cut + row, data, offsets
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    release()
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
