@@ -44,11 +44,16 @@ def read_table(
     subset: Sequence[str] = (),
     ordinal: bool = False,
 ) -> DataFrame:
-    """A headed text table, every column a string; the header is checked before any row is used."""
+    """A headed text table, every column a string; the header is checked before any row is used.
+
+    ``ordinal`` numbers the rows through all files, the files in name order. The scan itself deals large files first, so its own order
+    of rows is no file order.
+    """
     table = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"')
     require_columns(table, exact=exact, subset=subset)
     if ordinal:
-        table = row_numbers(table.withColumn("_id", F.monotonically_increasing_id()), [], ["_id"], "ordinal").drop("_id")
+        places = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+        table = row_numbers(table.withColumns(places), [], list(places), "ordinal").drop(*places)
     return table
 
 

@@ -174,3 +174,15 @@ def test_fastq_roundtrip_writes_whole_texts(spark, tmp_path, monkeypatch):
     assert first == [("aa", 2, 1509, 2), ("bb", 1, 150_004, 1)]
     whole = sorted(map(tuple, roundtrips.fastq_whole_roundtrip(spark, str(tmp_path)).collect()))
     assert whole == [("aa", 2, 1509, 301, 1500, 2), ("bb", 1, 150_004, 4, 150_004, 1)]
+
+
+def test_rows_of_a_table_are_numbered_by_file_name_whatever_the_sizes(spark, tmp_path):
+    """The scan reads the largest file first."""
+    at = 0
+    for part, rows in enumerate([3, 4000, 1, 900, 2]):
+        (tmp_path / f"part-{part:05d}.tsv").write_text("sample\tcondition\n" + "".join(f"s{at + i}\t{'AB'[i % 2]}\n" for i in range(rows)))
+        at += rows
+    table = tables.read_table(spark, str(tmp_path), ordinal=True)
+    assert table.columns == ["sample", "condition", "ordinal"]
+    assert table.filter(F.col("sample") != F.concat(F.lit("s"), F.col("ordinal") - 1)).count() == 0
+    assert table.count() == at
