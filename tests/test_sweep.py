@@ -85,3 +85,30 @@ def test_no_genes_at_all(spark):
     some = spark.createDataFrame([("c", 100, 101, "g")], none.schema)
     assert {r["status"] for r in ranges.assign_reads(reads, none, ["id"]).collect()} == {"Unassigned_NoFeatures"}
     assert sorted(str(r["gene_id"]) for r in ranges.assign_reads(reads, some, ["id"]).collect()) == ["None", "g"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_large_tables_meet_in_bins_and_move_once(spark, how):
+    """Without Python, events or copies of the points: one join on the bins."""
+    _, _, left, right = tables(spark, 60, 60)
+    right = right.filter("start <= end")
+    small = ranges.range_join(left.drop("tags"), right, bin_size=40, how=how)
+    found = ranges.range_join(left.drop("tags"), right, bin_size=40, how=how, broadcast_rows=0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, small.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "InArrow" not in plan
+
+
+def test_genes_of_reads_by_bins_near_and_far(spark):
+    rnd = random.Random(3)
+    exons = [(rnd.choice(["x", "y", None]), s, s + rnd.randint(-1, 90), rnd.choice(["a", "b", "c", None])) for s in (rnd.randint(-200, 9000) for _ in range(150))]
+    shapes = ["30M", "10M300N20M", "10M5I700N9M3D8M", "4S6M2000N7M800N3M", "*", "12M100N0M", None]
+    reads = [(i, rnd.choice([1, 3, 4, 9, None]), rnd.choice(["x", "y", "z", None]), rnd.choice([rnd.randint(-300, 9000), 511, 512]), 255, rnd.choice(shapes), rnd.choice([1, 1, 2, None])) for i in range(1500)]
+    given = spark.createDataFrame(exons, "chrom string, start long, end long, gene_id string")
+    table = spark.createDataFrame(reads, "id int, flag int, rname string, pos long, mapq int, cigar string, nh int")
+    want = ranges.assign_reads(table, given, ["id"]).orderBy("id").collect()
+    found = ranges.assign_reads(table, given, ["id"], broadcast_rows=0).orderBy("id")
+    assert found.collect() == want
+    short = table.filter("cigar = '30M'")
+    plan = ranges.assign_reads(short, given, ["id"], broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "InArrow" not in plan
