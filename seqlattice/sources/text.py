@@ -36,6 +36,16 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def read_parts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``folder, line_no, value``: lines numbered through all files of a folder, the files in name order."""
+    lines = read_lines(spark, paths).withColumn("folder", F.regexp_extract("file", "^(.*)/[^/]*$", 1))
+    # One row per file.
+    before = Window.partitionBy("folder").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("folder", "file").agg(F.count(F.lit(1)).alias("_n"))
+    shifts = sizes.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(shifts, "file").select("folder", (F.col("line_no") + F.col("_before")).alias("line_no"), "value")
+
+
 def _blank(value: str = "value"):
     return F.trim(F.col(value)) == ""
 

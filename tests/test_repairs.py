@@ -186,3 +186,20 @@ def test_rows_of_a_table_are_numbered_by_file_name_whatever_the_sizes(spark, tmp
     assert table.columns == ["sample", "condition", "ordinal"]
     assert table.filter(F.col("sample") != F.concat(F.lit("s"), F.col("ordinal") - 1)).count() == 0
     assert table.count() == at
+
+
+def test_lines_of_a_folder_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from workload import check, roundtrips
+
+    place = tmp_path / "files"
+    monkeypatch.setattr(roundtrips, "_folder", lambda spark: str(place))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        folder = "/root/testdata/sf0.001"
+        ok, text = check.compare(spark, folder, check.connect(folder), roundtrips.lines_roundtrip, roundtrips.ORACLES["lines_roundtrip"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ok, text
+    assert max(len(list(part.glob("part-*"))) for part in place.iterdir() if part.is_dir()) > 1

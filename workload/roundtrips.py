@@ -47,13 +47,14 @@ def _put(lines: DataFrame, path: str, *order: str) -> str:
     """,
 )
 def lines_roundtrip(spark, folder):
-    """One folder for each line number of an order, each with its lines in one file; physical line numbers come back."""
+    """One folder for each line number of an order, each with its lines in order in any number of files; their numbers through the folder come back."""
     place = _folder(spark)
     line = F.concat_ws("\t", "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
     rows = table(spark, folder, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", line.alias("value"))
-    dealt = rows.repartition("l_linenumber").sortWithinPartitions("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
+    order = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.select(F.col("l_linenumber").alias("part"), "value").write.partitionBy("part").text(place)
-    lines = text.read_lines(spark, f"{place}/*/*").withColumn("f", F.split("value", "\t"))
+    lines = text.read_parts(spark, f"{place}/*/*").withColumn("f", F.split("value", "\t"))
     key, number = F.col("f")[1].cast("long"), F.col("line_no")
     return lines.groupBy(F.col("f")[0].cast("long").alias("part")).agg(
         F.count(F.lit(1)).alias("lines"), F.min(number).alias("first_line"), F.max(number).alias("last_line"),
