@@ -61,42 +61,47 @@ def sample_of(path, suffix: str):
 def parse_tags(fields):
     """``TAG:TYPE:VALUE`` fields as a map; a repeated tag keeps its last value."""
     parts = F.transform(fields, lambda f: F.split(f, ":", 3))
-    valid = F.filter(parts, lambda p: F.size(p) == 3)
-    pairs = F.transform(valid, lambda p: F.struct(p[0].alias("key"), p[2].alias("value")))
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]),
-    )
-    return F.map_from_entries(last)
+    valid = F.transform(F.filter(parts, lambda p: F.size(p) == 3), lambda p: F.struct(p[0].alias("key"), p[2].alias("value")))
+
+    def last(pairs):
+        later = lambda i: F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0)))
+        return F.filter(pairs, lambda p, i: ~F.exists(later(i), lambda q: q["key"] == p["key"]))
+
+    # As a lambda's variable the pairs are made once for a row, not again for each of them.
+    return F.map_from_entries(F.get(F.transform(F.array(valid), last), F.lit(0)))
 
 
 def parse_sam(lines: DataFrame, check: bool = True) -> DataFrame:
-    """Alignments of ``file, line_no, value`` lines, tags as a map."""
+    """Alignments of ``file, line_no, value`` lines, tags as a map. With ``check`` they are parsed once, written, and read back from there."""
     body = lines.filter(~_blank() & ~F.col("value").startswith("@"))
     cut = body.withColumn("f", F.split("value", "\t"))
-    if check:
-        fine = (F.size("f") >= 11) & F.expr("try_cast(f[1] AS INT)").isNotNull()
-        expect(cut.select("line_no", "f"), fine, "Malformed SAM record")
 
     def number(i: int, kind: str):
-        return F.expr(f"try_cast(f[{i}] AS {kind})")
+        return F.expr(f"try_cast(get(f, {i}) AS {kind})")
 
-    return cut.select(
+    def field(i: int):
+        return F.get("f", F.lit(i))
+
+    table = cut.select(
         "file",
         F.col("line_no").alias("ordinal"),
-        F.col("f")[0].alias("qname"),
+        field(0).alias("qname"),
         number(1, "INT").alias("flag"),
-        F.col("f")[2].alias("rname"),
+        field(2).alias("rname"),
         number(3, "BIGINT").alias("pos"),
         number(4, "INT").alias("mapq"),
-        F.col("f")[5].alias("cigar"),
-        F.col("f")[6].alias("rnext"),
+        field(5).alias("cigar"),
+        field(6).alias("rnext"),
         number(7, "BIGINT").alias("pnext"),
         number(8, "BIGINT").alias("tlen"),
-        F.col("f")[9].alias("seq"),
-        F.col("f")[10].alias("qual"),
+        field(9).alias("seq"),
+        field(10).alias("qual"),
         parse_tags(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0)))).alias("tags"),
     )
+    if not check:
+        return table
+    # The eleventh field is there only if all before it are.
+    return stored(table, {"Malformed SAM record": F.col("qual").isNotNull() & F.col("flag").isNotNull()})
 
 
 def read_sam(spark: SparkSession, paths: str | Sequence[str], check: bool = True) -> DataFrame:

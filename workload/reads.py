@@ -117,7 +117,8 @@ def _sam_lines(spark, folder):
         F.concat(F.lit("CB:Z:"), F.translate("p_brand", "#", "*")), F.concat(F.lit("NH:i:"), "p_size"),
         F.concat(F.lit("UB:Z:"), "p_type"),
     ]
-    return table(spark, folder, "part").select(
+    # Parts are dealt first: their file may be one piece for the scan, and a line is far longer than its part.
+    return table(spark, folder, "part").repartition("p_partkey").select(
         F.lit("part").alias("file"), F.col("p_partkey").alias("line_no"), F.concat_ws("\t", *fields).alias("value")
     )
 
