@@ -33,9 +33,14 @@ def _folder(spark) -> str:
     return f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
+# Lines that one part file is meant to hold.
+PART_LINES = 500_000
+
+
 def _put(lines: DataFrame, path: str, *order: str) -> str:
-    """Lines as text in several part files."""
-    lines.repartitionByRange(5, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    """Lines as text in several part files, the more the more lines there are, so that a task sorts a bounded number of them."""
+    parts = max(5, -(-lines.count() // PART_LINES))
+    lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.text(path)
     return path
 
 
