@@ -71,6 +71,9 @@ def write_dataset(data: CellDataset, path: str, buckets: int | None = None) -> S
     tables = {"counts_by_cell": counts, "counts_by_gene": counts, "cells": data.cells, "features": data.features}
     for part, table in tables.items():
         key = _PARTS[part]
+        if part == "counts_by_gene":
+            # Those just written, so that the counts are made once.
+            table = spark.read.schema(table.schema).parquet(f"{path}/counts_by_cell")
         # A task writes whole buckets, so there is one file for each.
         dealt = table.repartition(buckets, key[0]).sortWithinPartitions(*key)
         name = f"new_{part}_{uuid.uuid4().hex}"
