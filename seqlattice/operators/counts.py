@@ -126,12 +126,21 @@ def feature_names(features: DataFrame, gene: str = "gene_id", ordinal: str = "or
     return make_unique(dashed, "_dashed", ordinal, "feature").drop("_unique", "_dashed")
 
 
+# Counts that one task is meant to add up.
+GROUP_ROWS = 500_000
+
+
+def _dealt(rows: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    """Rows dealt to ``parts`` tasks by the keys they are added up by; with None the session's setting does it."""
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 # --- matrices ------------------------------------------------------------------------------------
 
 
-def gene_totals(counts: DataFrame) -> DataFrame:
+def gene_totals(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Sum of counts per gene and cell; genes with only zeros stay."""
-    return counts.groupBy("gene", "cell").agg(F.sum("count").cast("bigint").alias("count"))
+    return _dealt(counts, ["gene", "cell"], parts).groupBy("gene", "cell").agg(F.sum("count").cast("bigint").alias("count"))
 
 
 def cell_totals(counts: DataFrame) -> DataFrame:
@@ -153,11 +162,13 @@ def annotate_features(genes: DataFrame, annotation: DataFrame) -> DataFrame:
     )
 
 
-def collapse_features(counts: DataFrame, names: DataFrame, gene: str = "gene", name: str = "gene_name") -> DataFrame:
+def collapse_features(
+    counts: DataFrame, names: DataFrame, gene: str = "gene", name: str = "gene_name", parts: int | None = None
+) -> DataFrame:
     """Sum the rows of genes sharing a name; genes without a name are dropped."""
     valid = names.filter(F.col(name).isNotNull() & (F.col(name) != "")).select(gene, name)
     return (
-        counts.join(valid, gene)
+        _dealt(counts.join(valid, gene), [name, "cell"], parts)
         .groupBy(F.col(name).alias("gene"), "cell")
         .agg(F.sum("count").cast("bigint").alias("count"))
     )
@@ -165,23 +176,27 @@ def collapse_features(counts: DataFrame, names: DataFrame, gene: str = "gene", n
 
 @dataclass(frozen=True)
 class CellDataset:
-    """A sparse count matrix: non-zero ``counts(gene, cell, count)``, all ``features``, all ``cells``."""
+    """A sparse count matrix: non-zero ``counts(gene, cell, count)``, all ``features``, all ``cells``.
+
+    ``parts`` is the number of tasks in which its counts are added up, so that one task's share is bounded whatever their number.
+    """
 
     counts: DataFrame
     features: DataFrame
     cells: DataFrame
     provenance: DataFrame | None = None
+    parts: int | None = None
 
     @classmethod
     def from_counts(
-        cls, counts: DataFrame, features: DataFrame | None = None, cells: DataFrame | None = None
+        cls, counts: DataFrame, features: DataFrame | None = None, cells: DataFrame | None = None, parts: int | None = None
     ) -> CellDataset:
-        totals = gene_totals(counts)
+        totals = gene_totals(counts, parts)
         if features is None:
             features = counts.select("gene").distinct()
         if cells is None:
             cells = counts.select("cell").distinct()
-        return cls(totals.filter("count > 0"), features, cells)
+        return cls(totals.filter("count > 0"), features, cells, parts=parts)
 
     @classmethod
     def from_matrix(
@@ -237,7 +252,7 @@ class CellDataset:
 
     def collapse(self, name: str = "gene_name") -> CellDataset:
         """The same dataset keyed by a feature column, equal names summed."""
-        counts = collapse_features(self.counts, self.features, "gene", name)
+        counts = collapse_features(self.counts, self.features, "gene", name, self.parts)
         valid = self.features.filter(F.col(name).isNotNull() & (F.col(name) != ""))
         return replace(self, counts=counts, features=valid.select(F.col(name).alias("gene")).distinct())
 

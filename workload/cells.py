@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from seqlattice.operators import embedding as E
@@ -34,7 +36,7 @@ def _parts(spark, folder):
 
 def _symbols(spark, folder):
     data = W.part_dataset(spark, folder)
-    named = type(data)(data.counts, W.symbol_features(spark, folder), data.cells).collapse("gene_name")
+    named = replace(data, features=W.symbol_features(spark, folder)).collapse("gene_name")
     return M.keep_cells(named, "analysis_keep")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlattice.operators.counts import CellDataset
+from seqlattice.operators.counts import GROUP_ROWS, CellDataset
 from seqlattice.schemas import Contrast, Region
 
 ANCHOR, UMI_LENGTH = "the ", 8
@@ -218,7 +218,10 @@ def cells(spark, folder) -> DataFrame:
 def part_dataset(spark, folder) -> CellDataset:
     """Genes are part keys; every part is a feature."""
     features = table(spark, folder, "part").select(F.col("p_partkey").alias("gene"))
-    return CellDataset.from_counts(line_counts(spark, folder), features, cells(spark, folder))
+    counts = line_counts(spark, folder)
+    # The number of lines stands in the file's footer.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // GROUP_ROWS))
+    return CellDataset.from_counts(counts, features, cells(spark, folder), parts)
 
 
 def symbol_features(spark, folder) -> DataFrame:
