@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlattice.contracts import ContractError, expect, expect_unique, require
@@ -12,6 +12,7 @@ from seqlattice.functions.reads import extract_tag
 from seqlattice.functions.regions import contains, on_contigs
 from seqlattice.operators.ranges import range_join
 from seqlattice.schemas import ABL1, BCR, Region
+from seqlattice.session import materialize
 
 OUTSIDE = "outside_target_intervals"
 
@@ -172,8 +173,8 @@ def category_names(a: str, b: str) -> tuple[str, ...]:
     return ("whole_intergene", f"{a}_any", f"{b}_any", f"{a}_{b}")
 
 
-def _categories(a: str, b: str):
-    """Sorted category names as one of four constant arrays, so nothing is built per row."""
+def pair_categories(a: str, b: str) -> Column:
+    """Sorted category names of ``gene1_name`` and ``gene2_name`` as one of four constant arrays, so nothing is built per row."""
     has_a = (F.col("gene1_name") == a) | (F.col("gene2_name") == a)
     has_b = (F.col("gene1_name") == b) | (F.col("gene2_name") == b)
     whole, any_a, any_b, both = category_names(a, b)
@@ -211,10 +212,11 @@ def annotate_pairs(
     """Every pair of different genes under the two ends of a junction, with its categories.
 
     ``genes``: ``chrom, start, end, gene_id, gene_name, strand``. The second end is joined on the rows
-    of the first, so there is no self-join; with a broadcast annotation the junctions never move.
+    of the first, so there is no self-join; with a broadcast annotation the junctions never move. The distinct
+    intervals are looked at several times, so they are written once.
     """
     identity = ["gene_id", "gene_name", "strand"]
-    intervals = genes.select("chrom", "start", "end", *identity).dropDuplicates()
+    intervals = materialize(genes.select("chrom", "start", "end", *identity).dropDuplicates())
     repeats = not intervals.groupBy(*identity).count().filter("count > 1").isEmpty()
     found = junctions
     for n in ("1", "2"):
@@ -236,7 +238,7 @@ def annotate_pairs(
     for n in ("1", "2"):
         for c in identity:
             found = found.withColumnRenamed(f"_{c}_{n}", f"gene{n}_{c.removeprefix('gene_')}")
-    return found.withColumn("categories", _categories(a, b))
+    return found.withColumn("categories", pair_categories(a, b))
 
 
 def annotation_report(annotated: DataFrame) -> DataFrame:

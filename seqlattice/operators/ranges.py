@@ -71,17 +71,17 @@ def range_join(
     binned = _binned_rows(intervals, start, end, bin_size)
     if binned > broadcast_rows and not _fits_bins(intervals, on, start, end, bin_size, binned):
         return sweep_join(points, intervals, on, position, start, end, how)
-    points = points.withColumn(BIN, _div(position, bin_size))
     keys = [*on, BIN]
     inside = F.col(position).between(F.col(start), F.col(end))
     right = _shared(_binned(intervals, start, end, bin_size), binned, broadcast_rows)
     # The keys are renamed on the interval side so that the containment test can sit in the join.
     right = right.select(*[F.col(k).alias(f"_i_{k}") if k in keys else F.col(k) for k in right.columns])
-    same = inside
-    for key in keys:
+    # The bin of a point follows from its position, so the points do not carry it.
+    same = inside & (_div(position, bin_size) == F.col(f"_i_{BIN}"))
+    for key in on:
         same = same & (F.col(key) == F.col(f"_i_{key}"))
     joined = points.join(right, same, how)
-    return joined.drop(*[f"_i_{k}" for k in keys], BIN)
+    return joined.drop(*[f"_i_{k}" for k in keys])
 
 
 def overlap_join(

@@ -253,3 +253,33 @@ def test_barcodes_and_metadata_contracts(spark, tmp_path):
     meta.write_text(head + "a\tq\tC\tU\t\t\na\tq\tC\tV\t\t\n")
     with pytest.raises(ContractError):
         tables.read_read_metadata(spark, str(meta))
+
+
+def test_points_move_without_their_bin(spark):
+    from seqlattice.operators.ranges import range_join
+
+    points = spark.createDataFrame([("c", 5), ("c", 19), ("c", 20), ("d", 5), ("c", None)], "chrom string, pos long")
+    genes = spark.createDataFrame([("c", 1, 19, "g"), ("c", 20, 40, "h")], "chrom string, start long, end long, gene string")
+    for limit in (0, 100):
+        joined = range_join(points, genes, bin_size=16, how="left", broadcast_rows=limit)
+        node = joined._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Join":
+            node = node.children().head()
+        assert "_bin" not in node.left().output().mkString(",")
+        found = {(r["chrom"], r["pos"], r["gene"]) for r in joined.collect()}
+        assert found == {("c", 5, "g"), ("c", 19, "g"), ("c", 20, "h"), ("d", 5, None), ("c", None, None)}
+
+
+def test_pairs_are_counted_by_names_only(spark):
+    from workload.junctions import QUERIES
+
+    plan = QUERIES["intergenic_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    seen, left = [], [plan]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Aggregate":
+            seen.append(node.groupingExpressions().mkString(","))
+        left += [node.children().apply(k) for k in range(node.children().size())]
+    assert seen and not [keys for keys in seen if "categories" in keys]
+    # The distinct genes are written, so no use of them aggregates them again.
+    assert not [keys for keys in seen if "gene_id" in keys]

@@ -164,10 +164,12 @@ def _annotated(spark, folder):
     """,
 )
 def intergenic_pairs(spark, folder):
-    pairs = _annotated(spark, folder).withColumn("categories", F.array_join("categories", ","))
-    return pairs.groupBy("gene1_name", "gene2_name", "categories").agg(
+    counted = _annotated(spark, folder).groupBy("gene1_name", "gene2_name").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("source_line").alias("lines")
     )
+    # The categories follow from the names, so they are not a key of the rows that move.
+    categories = F.array_join(X.pair_categories("Brand#1", "Brand#2"), ",")
+    return counted.select("gene1_name", "gene2_name", categories.alias("categories"), "pairs", "lines")
 
 
 @query(
