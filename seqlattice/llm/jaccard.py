@@ -493,7 +493,8 @@ def _linked(docs: DataFrame, size: int, threshold: int, id_col: str, text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), pa.array([s.tobytes() for _, s in found], pa.binary())], ["set_key", "grams"])
 
     picked = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(pick, "doc_id long, text string")
-    chosen = suspects.select("doc_id", "set_key").join(picked, "doc_id").select("doc_id", "set_key", "text")
+    # Shuffled whatever its size: a broadcast would put both steps in Python into one task, with a worker each, and workers stay.
+    chosen = suspects.select("doc_id", "set_key").hint("merge").join(picked, "doc_id").select("doc_id", "set_key", "text")
     left = materialize(chosen.mapInArrow(grams, "set_key long, grams binary"))
     ordered = materialize(_ordered(left, max(1, -(-kept // RANGE))))
     cells = connected_components(_ties(ordered, threshold))

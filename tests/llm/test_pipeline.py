@@ -90,3 +90,34 @@ def test_texts_stay_without_labels(spark, tmp_path):
         assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([*range(8), None], key=str)
     ended = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ended == {*range(8), None}
+
+
+def test_a_task_of_the_ngram_join_has_one_python_worker(spark, monkeypatch):
+    from seqlattice.llm import jaccard
+    from seqlattice.session import materialize
+
+    rows = [(k, " ".join(f"w{j}" for j in range(40)) + f" x{k % 3}") for k in range(12)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = []
+
+    def stages(node, held):
+        """The steps in Python of each stage: exchanges part stages."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return stages(node.initialPlan(), held)
+        if "Exchange" in name:
+            held = []
+            seen.append(held)
+        if "Arrow" in name or "Python" in name:
+            held.append(name)
+        for k in range(node.children().size()):
+            stages(node.children().apply(k), held)
+
+    def noted(df, *more):
+        seen.append([])
+        stages(df._jdf.queryExecution().executedPlan(), seen[-1])
+        return materialize(df, *more)
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    assert jaccard.representatives(docs).count() == 1
+    assert any(seen) and max(map(len, seen)) == 1
