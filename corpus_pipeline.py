@@ -1,7 +1,8 @@
 """From documents to packed sequences: language ID, near-duplicate removal, substring dedup, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but the last return the columns
-of their input, whatever those are; ``doc_id``, ``text`` and, for training, ``lang`` are read.
+of their input, whatever those are; ``doc_id``, ``text`` and, for training, ``lang`` are read. Executors and their workers are
+the same for all stages, and each keeps most of what any stage took, so every stage limits the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqlattice.llm import jaccard, langid, names, packing, substrings
 from seqlattice.llm.queries import tokenizer
-from seqlattice.session import materialize
+from seqlattice.session import materialize, small_batches
 
 # The network needs training, which SQL cannot express.
 ORACLE_SQL = None
@@ -22,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without a label to learn from, the same texts stay.
     """
+    small_batches(docs.sparkSession)
     model = langid.train(docs)
     if not model.labels:
         return docs.filter(langid.has_letter(F.col("text").cast("string")))
@@ -35,11 +37,13 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that agree in id and text one stays. Rows with a null id link with nothing and all stay.
     """
+    small_batches(docs.sparkSession)
     return jaccard.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 35 words or more that occur more than once; ``n_chars``, if there, follows."""
+    small_batches(docs.sparkSession)
     kept, *counts = names.free(docs, "words_kept", "words_all", "words_removed")
     done = substrings.dedup(docs, kept_col=kept, counts=tuple(counts))
     new = {"text": F.col(kept), "n_chars": F.length(kept).cast("long")}
@@ -48,6 +52,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 ids."""
+    small_batches(docs.sparkSession)
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 

@@ -32,6 +32,18 @@ def build_session(master: str | None = None, conf: dict[str, str] | None = None)
     return spark
 
 
+# Bytes of rows that travel to a Python worker together. Spark's own limit is 64 MB, which a task holds several times over: the
+# executor as Arrow vectors and as the bytes that it sends, outside the heap, and the worker as a batch and what it makes of it.
+ARROW_BYTES = 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches of this session to ARROW_BYTES, or one row that is larger; a limit that the session has stays."""
+    if _ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 

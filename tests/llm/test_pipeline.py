@@ -121,3 +121,29 @@ def test_a_task_of_the_ngram_join_has_one_python_worker(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialize", noted)
     assert jaccard.representatives(docs).count() == 1
     assert any(seen) and max(map(len, seen)) == 1
+
+
+def test_stages_limit_the_bytes_of_a_batch(spark):
+    """One partition of 12 MB reaches Python in several batches after any stage, whole; before, in one. A user's own limit stays."""
+    import pyarrow as pa
+
+    from seqlattice.session import ARROW_BYTES
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(k, " ".join(f"kumi{(k * 7 + j) % 50}" for j in range(20)), "aa") for k in range(4)]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        session = spark.newSession()
+        stage(session, session.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+        wide = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("kumi"), 1000).alias("text"))
+        seen = wide.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in seen) == 3000
+        assert max(r["bytes"] for r in seen) < 1.5 * ARROW_BYTES
+    session = spark.newSession()
+    session.conf.set(limit, "1m")
+    corpus_pipeline.language_id(session, session.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert session.conf.get(limit) in ("1m", "1048576b")
