@@ -5,7 +5,8 @@ are told apart, nor get lost among them. Appending ``sqrt(longest**2 - length**2
 which keeps distances and puts vectors much shorter than the longest near zero, where their differences are exact. A shard's graph starts from random edges; in
 batches, each vector searches the graph greedily, and of the vectors met on the way it keeps a diverse few: the nearest is
 taken, and those that are nearer to it than to the vector by the factor ``ALPHA`` leave. Queries run a beam search on
-every shard; what it finds is scored again on the original vectors in double precision.
+every shard; what it finds is scored again on the original vectors in double precision. A few shards and a block of queries
+meet in one group of rows, which keeps the best of them for each query; neither side is broadcast.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ BUILD = 64
 WIDTH = 4
 # Vectors inserted, and queries searched, together.
 BATCH = 256
+# Groups of shards and queries that large inputs are dealt to at least, and queries of a group, at least where there are more groups.
+# Shards and queries of a group have this many components a row together, at most.
+UNITS = 96
 QUERIES = 1024
+SHARD_ROOM = 512
+QUERY_ROOM = 1 << 20
 # Lengths of a band differ by this factor at most, from the longest of all down.
 BAND = 16
 
@@ -175,7 +181,8 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         vec = matrix(table.column("vec").combine_chunks())
         ids = table.column("ids").combine_chunks()
         edges, start = build_graph(_lifted(vec, table.column("longest")[0].as_py()))
-        blobs = [vec.tobytes(), np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes(), ids.flatten().to_numpy().astype(np.int64).tobytes(), edges.astype(np.int32).tobytes()]
+        single = pa.types.is_float32(table.schema.field("vec").type.value_type)
+        blobs = [vec.astype(np.float32 if single else np.float64).tobytes(), np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes(), ids.flatten().to_numpy().astype(np.int64).tobytes(), edges.astype(np.int32).tobytes()]
         columns = [*(table.column(c).slice(0, 1).combine_chunks() for c in ("shard", "dim", "of")), pa.array([start], pa.int32()), table.column("longest").slice(0, 1).combine_chunks(), *(pa.array([b], pa.binary()) for b in blobs)]
         yield pa.RecordBatch.from_arrays(columns, ["shard", "dim", "of", "start", "longest", "vecs", "copies", "ids", "edges"])
 
@@ -201,6 +208,17 @@ def beam_size(k: int, shards: int) -> int:
     return 32 + 4 * min(k, int(np.ceil(share + 3 * np.sqrt(share))))
 
 
+def dealt(shards: int, queries: int, dim: int) -> tuple[int, int]:
+    """How many shards make a part, and how many blocks the queries make, for vectors of ``dim`` components.
+
+    A part and a block meet in one task. Each shard moves once for each block and each query once for each part, so both are as
+    large as memory allows and as UNITS groups leave them.
+    """
+    most = max(QUERIES, QUERY_ROOM // dim)
+    blocks = min(-(-queries // QUERIES), max(-(-queries // most), -(-UNITS // shards)))
+    return max(1, min(SHARD_ROOM // dim, shards * blocks // UNITS)), blocks
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest that were found for each query, nearest first.
 
@@ -209,58 +227,89 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     finite, have no result; candidates have a vector of the query's length. Repeated query rows count once; an id
     with several different vectors is searched for each, and its best ``k`` of all of them stay.
     """
-    spark = index.sparkSession
     asked = keyed(queries, id_col, vec_col).filter("key IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("query_id"), "key", "vec", F.size("vec").alias("dim"))
     asked = materialize(asked)
-    blocks = {d: -(-n // QUERIES) for d, n in asked.groupBy("dim").count().collect()}
     shards = {d: n + 1 for d, n in index.groupBy("dim").agg(F.max("shard")).collect()}
+    deal = {d: dealt(shards[d], n, d) for d, n in asked.groupBy("dim").count().collect() if d in shards}
+    per = {d: p for d, (p, _) in deal.items()}
+    blocks = {d: b for d, (_, b) in deal.items()}
+    parts = {d: -(-shards[d] // p) for d, p in per.items()}
     count = lambda of: F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in of.items()], F.lit(0))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    part = F.floor(F.col("shard") / F.greatest(count(per), F.lit(1))).cast("int")
     block = F.pmod(F.xxhash64("query_id", "key"), F.greatest(count(blocks), F.lit(1))).cast("int")
-    left = index.select("*", F.explode(upto(count(blocks))).alias("block"))
-    right = asked.select("query_id", "vec", "dim", block.alias("block")).groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vec")).alias("asked"))
-    right = right.select("dim", "block", "asked", F.explode(upto(count(shards))).alias("shard"))
-    units = left.join(right, ["dim", "shard", "block"]).select("of", "start", "longest", "vecs", "copies", "ids", "edges", "asked")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                yield _search_shard(*(c[r] for c in batch.columns[1:]), k, beam_size(k, batch.column(0)[r].as_py()))
-
-    found = units.mapInArrow(run, "query_id long, vec_id long, score double")
+    left = index.select("*", part.alias("part"), F.explode(upto(count(blocks))).alias("block"))
+    right = asked.select("query_id", "vec", "dim", block.alias("block"), F.explode(upto(count(parts))).alias("part"))
+    # More partitions than groups, so that few of these long groups fall to one task.
+    key = ["dim", "part", "block"]
+    tasks = 2 * max(1, sum(parts[d] * blocks[d] for d in deal))
+    left, right = (side.repartition(tasks, *key).groupBy(*key) for side in (left, right))
+    found = left.cogroup(right).applyInArrow(lambda some, ask: _search_part(some, ask, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_shard(start, longest, vecs, copies, ids, edges, asked, k: int, beam: int) -> pa.RecordBatch:
-    copies = np.frombuffer(copies.as_py(), np.int32)
-    n = len(copies)
-    vec = np.frombuffer(vecs.as_py(), np.float64).reshape(n, -1)
-    member = np.frombuffer(ids.as_py(), np.int64)
-    at = np.concatenate([[0], np.cumsum(copies)])
-    edge = np.frombuffer(edges.as_py(), np.int32).reshape(n + 1, -1).astype(np.int64)
-    queries = asked.values
-    name = queries.field("query_id").to_numpy()
-    query = matrix(queries.field("vec"))
-    length = np.sqrt((query * query).sum(axis=1, keepdims=True))
-    lifted = np.concatenate([query / length, np.full((len(query), 1), -1.0)], axis=1)
-    points = _lifted(vec, longest.as_py())
-    if n <= beam:
-        # The list holds the whole shard.
-        near = np.broadcast_to(np.arange(n), (len(query), n))
-    else:
-        near = np.concatenate([beam_search(points, edge, start.as_py(), lifted[c : c + BATCH], beam)[0] for c in range(0, len(query), BATCH)])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q in range(len(query)):
-        found = near[q][near[q] >= 0]
-        score = vec[found] @ query[q]
-        who = np.concatenate([member[at[f] : at[f + 1]] for f in found])
-        score = np.repeat(score, copies[found])
-        keep = who != name[q]
-        who, score = who[keep], score[keep]
-        top = np.lexsort((who, -score))[:k]
-        out.append((np.full(len(top), name[q]), who[top], score[top]))
-    columns = [np.concatenate(c) for c in zip(*out)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+def _search_part(shards: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """For each query the ``k`` nearest that are found on the shards."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if shards.num_rows and asked.num_rows:
+        name = asked.column("query_id").to_numpy()
+        query = matrix(asked.column("vec").combine_chunks())
+        graphs = [_Shard(row, k) for row in shards.to_pylist()]
+        for c in range(0, len(name), BATCH):
+            met = [g.met(query[c : c + BATCH]) for g in graphs]
+            row, who, score = (np.concatenate(x) for x in zip(*met))
+            row += c
+            other = who != name[row]
+            for column, values in zip(out, _nearest(row[other], who[other], score[other], k)):
+                column.append(values)
+        out[0] = [name[r] for r in out[0]]
+    return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), out)})
+
+
+def _nearest(row: np.ndarray, who: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, where an id that comes with several scores counts once, with its best."""
+    order = np.lexsort((-score, who, row))
+    row, who, score = row[order], who[order], score[order]
+    first = np.append(True, (row[1:] != row[:-1]) | (who[1:] != who[:-1]))[: len(row)]
+    row, who, score = row[first], who[first], score[first]
+    order = np.lexsort((who, -score, row))
+    row, who, score = row[order], who[order], score[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], who[top], score[top]
+
+
+class _Shard:
+    """One row of the index."""
+
+    def __init__(self, row: dict, k: int) -> None:
+        self.copies = np.frombuffer(row["copies"], np.int32)
+        n = len(self.copies)
+        single = len(row["vecs"]) == 4 * n * row["dim"]
+        self.vec = np.frombuffer(row["vecs"], np.float32 if single else np.float64).reshape(n, -1).astype(np.float64)
+        self.member = np.frombuffer(row["ids"], np.int64)
+        self.at = np.cumsum(self.copies) - self.copies
+        self.edge = np.frombuffer(row["edges"], np.int32).reshape(n + 1, -1).astype(np.int64)
+        self.points = _lifted(self.vec, row["longest"])
+        self.start = row["start"]
+        self.beam = beam_size(k, row["of"])
+
+    def met(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, id and inner product of all that the queries find here."""
+        n = len(self.vec)
+        if n <= self.beam:
+            # The list holds the whole shard.
+            near = np.broadcast_to(np.arange(n), (len(query), n))
+        else:
+            length = np.sqrt((query * query).sum(axis=1, keepdims=True))
+            lifted = np.concatenate([query / length, np.full((len(query), 1), -1.0)], axis=1)
+            near = beam_search(self.points, self.edge, self.start, lifted, self.beam)[0]
+        row, col = np.nonzero(near >= 0)
+        point = near[row, col]
+        score = np.einsum("ij,ij->i", self.vec[point], query[row])
+        times = self.copies[point]
+        end = np.cumsum(times)
+        who = self.member[np.arange(times.sum()) + np.repeat(self.at[point] - (end - times), times)]
+        return np.repeat(row, times), who, np.repeat(score, times)

@@ -157,6 +157,50 @@ def test_nearest_of_odd_tables(spark):
     assert graphsearch.search(graphsearch.build_index(alone), alone).collect() == []
 
 
+def test_queries_and_shards_are_not_broadcast(spark):
+    """The copies of the queries, one for each part of the shards, once went to the driver in one table."""
+    x = vectors(600, 8, seed=2)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = graphsearch.search(graphsearch.build_index(df, shard=50), df.filter("vec_id % 20 = 0"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("units", [1, 5, 96])
+def test_parts_of_several_shards(spark, monkeypatch, units):
+    """Shards that a part holds together, and blocks of few queries, find what they find one by one."""
+    x = vectors(600, 8, seed=2)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(graphsearch, "UNITS", units)
+    monkeypatch.setattr(graphsearch, "QUERIES", 11)
+    monkeypatch.setattr(graphsearch, "QUERY_ROOM", 8 * 13)
+    found = graphsearch.search(graphsearch.build_index(df, shard=50), df.filter("vec_id % 20 = 0"))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    # The list of each shard holds all of it, so the result is exact.
+    y, ids = x.astype(np.float64), np.arange(len(x))
+    assert got == {q: [v for v, _ in nearest(y, ids, q, 20)] for q in range(0, 600, 20)}
+
+
+def test_groups_are_bounded_and_move_little():
+    """Bytes that move: each shard for each block of queries, each query and what it finds for each part."""
+    for shards, queries, dim, most_mb in ((1, 25, 64, 2), (13, 2564, 64, 150), (151, 30770, 64, 2000), (1503, 307_700, 64, 150_000), (151, 30770, 768, 70_000)):
+        per, blocks = graphsearch.dealt(shards, queries, dim)
+        parts = -(-shards // per)
+        assert 1 <= per <= max(1, graphsearch.SHARD_ROOM // dim) and per <= shards and -(-queries // blocks) <= max(graphsearch.QUERIES, graphsearch.QUERY_ROOM // dim)
+        one_shard, one_query = 4096 * (4 * dim + 4 * graphsearch.ROOM), 4 * dim + 20 * 24
+        assert shards * blocks * one_shard + queries * parts * one_query <= most_mb * 1e6
+
+
+def test_an_id_of_many_vectors_counts_once(spark):
+    """Vectors of one id that fill a shard's first places leave the other places to other ids."""
+    rows = [(7, [1.0, 0.001 * j]) for j in range(30)] + [(100 + j, [0.5, 0.01 * j]) for j in range(25)] + [(20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = graphsearch.search(graphsearch.build_index(df), df.filter("vec_id = 20"))
+    assert [r["vec_id"] for r in sorted(found.collect(), key=lambda r: r["rank"])] == [7, *range(100, 119)]
+
+
 def test_pruned_edges_are_diverse():
     points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1], [0, 1.2], [-3, 0]], np.float32)
     kept = graphsearch.robust_prune(points, np.array([0]), np.array([[1, 2, 3, 4, 5, -1, 0, 1]]), 4, 1.2)
